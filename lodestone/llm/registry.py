@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from lodestone.llm import op03_mixing as op3
 from lodestone.llm import op06_exact_dedup as op6
 
 QUERIES = {
+    "op3_mixing": op3.op3_mixing,
     "op6_exact_dedup": op6.op6_exact_dedup,
 }
 ORACLES = {
+    "op3_mixing": op3.ORACLE,
     "op6_exact_dedup": op6.ORACLE,
 }
