@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from lodestone.llm import op03_mixing as op3
 from lodestone.llm import op06_exact_dedup as op6
+from lodestone.llm import op10_pii as op10
 
 QUERIES = {
     "op3_mixing": op3.op3_mixing,
     "op6_exact_dedup": op6.op6_exact_dedup,
+    "op10_pii": op10.op10_pii,
 }
 ORACLES = {
     "op3_mixing": op3.ORACLE,
