@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodestone.llm import op02_toxicity as op2
 from lodestone.llm import op03_mixing as op3
 from lodestone.llm import op04_language_id as op4
+from lodestone.llm import op05_sentencepiece as op5
 from lodestone.llm import op06_exact_dedup as op6
 from lodestone.llm import op07_warc as op7
 from lodestone.llm import op10_pii as op10
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_toxicity": op2.op2_toxicity,
     "op3_mixing": op3.op3_mixing,
     "op4_language_id": op4.op4_language_id,
+    "op5_sentencepiece": op5.op5_sentencepiece,
     "op6_exact_dedup": op6.op6_exact_dedup,
     "op7_warc": op7.op7_warc,
     "op10_pii": op10.op10_pii,
