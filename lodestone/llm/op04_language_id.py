@@ -144,17 +144,19 @@ class Model:
         pad = PAD[: self.order] if self.order <= len(PAD) else b" " * self.order
         data = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
-        # The gram that ends a text's first byte starts at its pad; grams that end in a pad are of no text.
-        first = np.concatenate([[0], np.cumsum(sizes + self.order)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+        starts = np.cumsum(sizes + self.order) - sizes
+        ends = starts + sizes
         out = np.zeros((len(texts), len(self.langs)))
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        places = np.arange(len(owner)) + np.repeat(first - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if len(texts) else np.zeros(0, np.int64)
-        for lo in range(0, len(owner), SLICE):
-            at = places[lo : lo + SLICE]
-            begin, end = int(at[0]), int(at[-1]) + 1
-            keys = grams(data[begin : end + self.order], self.order)[at - begin]
-            own = owner[lo : lo + SLICE]
-            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        for lo in range(self.order, len(data), SLICE):
+            hi = min(lo + SLICE, len(data))
+            keys = grams(data[lo - self.order : hi], self.order)
+            own = np.arange(np.searchsorted(ends, lo, side="right"), np.searchsorted(starts, hi, side="left"))
+            own = own[sizes[own] > 0]
+            # Text and padding take turns, so no piece between two edges is empty; those of padding are left out.
+            edges = np.stack([np.maximum(starts[own], lo), np.minimum(ends[own], hi)], axis=1).ravel() - lo
+            edges = edges[:-1] if len(edges) and edges[-1] == hi - lo else edges
+            if not len(edges):
+                continue
             found = self.index.find(keys)
             missing = np.flatnonzero(found < 0)
             if len(missing):
@@ -163,7 +165,7 @@ class Model:
                 bits = self.table[i][found]
                 if len(missing):
                     bits[missing] = self.trees[i].bits(odd)[which]
-                out[own[heads], i] += np.add.reduceat(bits, heads)
+                out[own, i] += np.add.reduceat(bits, edges)[::2]
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -189,7 +191,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = sample.where(F.char_length("text") <= SAMPLE_CHARS).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in common.slices(b, 1)):
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(lang, []).append(grams(np.frombuffer(b" " * order + text.encode(), np.uint8), order))
@@ -214,7 +216,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     source = docs.select(F.col(id_col).alias("doc_id"), (common.fold_remainder(F.col(id_col), 4) == 2).alias("held_out"), F.col(text_col).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in common.slices(b, 2)):
             found = shared.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
