@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodestone.llm import op01_lm_score as op1
 from lodestone.llm import op02_toxicity as op2
 from lodestone.llm import op03_mixing as op3
 from lodestone.llm import op04_language_id as op4
@@ -11,6 +12,7 @@ from lodestone.llm import op07_warc as op7
 from lodestone.llm import op10_pii as op10
 
 QUERIES = {
+    "op1_lm_score": op1.op1_lm_score,
     "op2_toxicity": op2.op2_toxicity,
     "op3_mixing": op3.op3_mixing,
     "op4_language_id": op4.op4_language_id,
