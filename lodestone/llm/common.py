@@ -78,6 +78,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Groups with over a thousandth of all rows number fewer than this; a broadcast of them has a fixed bound.
+HEAVY = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Joins each row to its group's row. ``size`` is the group's count of rows: the few heavy groups are broadcast, the others shuffled."""
+    heavy_at = max(rows.count() // HEAVY, 1)
+    heavy, light = groups.where(F.col(size) > heavy_at), groups.where(F.col(size) <= heavy_at)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rest.join(light, key).unionByName(rows.join(F.broadcast(heavy), key))
+
+
 #: Text bytes that a Python worker takes from a batch at a time.
 SLICE_BYTES = 8 << 20
 
