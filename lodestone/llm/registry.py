@@ -10,6 +10,7 @@ from lodestone.llm import op05_sentencepiece as op5
 from lodestone.llm import op06_exact_dedup as op6
 from lodestone.llm import op07_warc as op7
 from lodestone.llm import op08_minhash_forest as op8
+from lodestone.llm import op09_multi_index as op9
 from lodestone.llm import op10_pii as op10
 
 QUERIES = {
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_exact_dedup": op6.op6_exact_dedup,
     "op7_warc": op7.op7_warc,
     "op8_minhash_forest": op8.op8_minhash_forest,
+    "op9_multi_index": op9.op9_multi_index,
     "op10_pii": op10.op10_pii,
 }
 ORACLES = {
