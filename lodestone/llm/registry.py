@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lodestone.llm import op01_lm_score as op1
 from lodestone.llm import op02_toxicity as op2
 from lodestone.llm import op03_mixing as op3
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_minhash_forest": op8.op8_minhash_forest,
     "op9_multi_index": op9.op9_multi_index,
     "op10_pii": op10.op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op3_mixing": op3.ORACLE,
