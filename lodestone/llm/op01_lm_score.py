@@ -8,10 +8,11 @@ From these counts come smoothed probabilities: P(w | v) = (c(v w) + MU * P(w)) /
 MU is chosen from a fixed grid by deleted estimation over a bounded sample of training texts: each pair is scored with its own
 occurrence taken from the counts.
 
-The filter is made of :data:`SEGMENTS` segments; an n-gram's hash names its segment and all its items fall in it. Counts are shuffled by
-segment, so each segment is built whole by one task from summed counts, and the driver only joins them. Its size, ``filter_bits``,
-is a parameter and so is the bound of what is broadcast; every n-gram enters it at every corpus size, and a larger corpus
-wants a larger filter to keep its rate of false positives (``bits / items`` near ten).
+The filter is made of :data:`SEGMENTS` segments; an n-gram's hash names its segment and all its items fall in it. Tasks send their counts
+packed by segment, so each segment is built whole by one task from summed counts, and the driver only joins them. The filter has
+:data:`TOKEN_BITS` bits per training token up to ``filter_bits``, which is the bound of what is broadcast; every n-gram enters it
+at every corpus size. A corpus beyond that bound wants a larger ``filter_bits`` to keep the rate of false positives, and more
+segments as well, so that the counts of one fit a worker.
 
 The base score needs exact counts. Words that occur often (at most :data:`HOT_WORDS` of them, by a threshold on their counts; longer words
 than :data:`HOT_BYTES` bytes are left out) are broadcast with their counts; the others' are joined by a shuffle, in which each text sends a
@@ -27,18 +28,23 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
 FILTER_BITS = 1 << 29
-SEGMENTS = 4096
+SEGMENT_BITS = 12
+SEGMENTS = 1 << SEGMENT_BITS
 PROBES = 4
+#: Filter bits by training token.
+TOKEN_BITS = 8
 BASE = 1.5
 LEVELS = 64
 HOT_WORDS, HOT_BYTES = 150_000, 64
@@ -98,23 +104,28 @@ class Filter:
         self.width = len(bits) * 8 // SEGMENTS
 
     @staticmethod
-    def places(key: np.ndarray, q: np.ndarray | int, width: int) -> list[np.ndarray]:
-        """Where the items (key, q) have their bits, within their segment."""
+    def start(key: np.ndarray, q: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """What the places of the items (key, q) are derived from."""
         x = _mixed(key + (np.asarray(q).astype(np.uint64) * _LEVEL))
-        step = (x * _STEP) >> np.uint64(1) | np.uint64(1)
-        return [((x + np.uint64(i) * step) >> np.uint64(16)) % np.uint64(width) for i in range(PROBES)]
+        return x, (x * _STEP) | np.uint64(1)
+
+    @staticmethod
+    def place(x: np.ndarray, step: np.ndarray, i: int, width: int) -> np.ndarray:
+        """The i-th bit of each item, within its segment."""
+        return (((x + np.uint64(i) * step) >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """By membership probes, level after level, until one is missing."""
         out, open_ = np.zeros(len(key), np.int64), np.arange(len(key))
         base = segment(key).astype(np.uint64) * np.uint64(self.width)
         for q in range(1, LEVELS + 1):
-            own, at = key[open_], base[open_]
-            good = np.ones(len(open_), bool)
-            for place in self.places(own, q, self.width):
-                bit = at + place
-                good &= (self.bytes_[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            open_ = open_[good]
+            at = base[open_]
+            x, step = self.start(key[open_], q)
+            for i in range(PROBES):
+                bit = at + self.place(x, step, i, self.width)
+                good = np.flatnonzero((self.bytes_[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                if len(good) < len(at):
+                    at, x, step, open_ = at[good], x[good], step[good], open_[good]
             out[open_] = q
             if not len(open_):
                 break
@@ -122,14 +133,14 @@ class Filter:
 
 
 def segment(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - 12)).astype(np.int64)
+    return (key >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
 
 
 class Model:
-    """The broadcast part: filter, sizes and MU."""
+    """The broadcast part: filter and sizes."""
 
-    def __init__(self, filter_: Filter, n: int, v: int, mu: float = GRID[3]) -> None:
-        self.filter, self.n, self.v, self.mu = filter_, n, v, mu
+    def __init__(self, filter_: Filter, n: int, v: int) -> None:
+        self.filter, self.n, self.v = filter_, n, v
 
     def parts(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token: estimated counts of the token, of the one before and of the pair."""
@@ -141,13 +152,11 @@ class Model:
         own = known[back]
         prior = np.concatenate([[known[-1]], own[:-1]])
         prior[starts] = known[-1]
-        pairs, back = np.unique(pair_hash(before, words), return_inverse=True)
-        pair = np.minimum(MIDDLE[self.filter.levels(pairs)][back], np.minimum(own, prior))
+        pair = np.minimum(MIDDLE[self.filter.levels(pair_hash(before, words))], np.minimum(own, prior))
         return own, prior, pair
 
-    def log_p(self, words: np.ndarray, starts: np.ndarray, mu: float | None = None, deleted: bool = False) -> np.ndarray:
+    def log_p(self, words: np.ndarray, starts: np.ndarray, mu: float, deleted: bool = False) -> np.ndarray:
         """log10 P(token | token before); ``deleted``: without one occurrence of each pair."""
-        mu = self.mu if mu is None else mu
         own, prior, pair = self.parts(words, starts)
         if deleted:
             own, prior, pair = np.maximum(own - 1, 0), np.maximum(prior - 1, 0), np.maximum(pair - 1, 0)
@@ -190,9 +199,18 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> Iterator[pa.RecordBatch]:
         key, n = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        for lo in range(0, len(key), 100_000):
-            k = key[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(segment(k).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(n[lo : lo + 100_000])], ["segment", "key", "n"])
+        # Sorted keys lie by segment. Most counts are 1 and not sent.
+        parts = []
+        for own, counts in ((key[n == 1], None), (key[n > 1], n[n > 1])):
+            cuts = np.searchsorted(own, np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(64 - SEGMENT_BITS)).tolist() + [len(own)]
+            raw, times = own.tobytes(), None if counts is None else counts.astype(np.uint32).tobytes()
+            parts.append([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+            if times is not None:
+                parts.append([times[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        for lo in range(0, SEGMENTS, 256):
+            some = [i for i in range(lo, lo + 256) if parts[0][i] or parts[1][i]]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32())] + [pa.array([p[i] for i in some], pa.binary()) for p in parts], ["segment", "once", "often", "times"])
 
     for batch in (x for b in batches for x in common.slices(b, 0)):
         _, flat, starts = _flat(batch.column(0).to_pylist(), hashes)
@@ -207,65 +225,75 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(width: int):
-    """Builds segments from summed counts: one row (segment, bits) for each that the task has rows of."""
+    """Builds segments from packed counts, which come sorted by segment: one row (segment, bits) each."""
+
+    def bits(parts: list[tuple[bytes, bytes, bytes]]) -> bytes:
+        once, often = (np.frombuffer(b"".join(p[k] for p in parts), np.uint64) for k in (0, 1))
+        times = np.frombuffer(b"".join(p[2] for p in parts), np.uint32).astype(np.int64)
+        key = np.concatenate([once, often])
+        n = np.concatenate([np.ones(len(once), np.int64), times])
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, q = key[heads], level(np.add.reduceat(n, heads).astype(float))
+        # A row for each level that an n-gram enters.
+        key = np.repeat(key, q)
+        lev = np.arange(len(key)) - np.repeat(np.cumsum(q) - q, q) + 1
+        held = np.zeros(width, bool)
+        x, step = Filter.start(key, lev)
+        for i in range(PROBES):
+            held[Filter.place(x, step, i, width)] = True
+        return np.packbits(held, bitorder="little").tobytes()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
+        now, parts = None, []
         for batch in batches:
-            seg, key = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            q = level(batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64))
-            order = np.argsort(seg, kind="stable")
-            seg, key, q = seg[order], key[order], q[order]
-            # A row for each level that an n-gram enters.
-            key, own = np.repeat(key, q), np.repeat(seg, q)
-            lev = np.arange(len(key)) - np.repeat(np.cumsum(q) - q, q) + 1
-            cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
-            for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True):
-                held = bits.setdefault(int(own[a]), np.zeros(width, bool))
-                for place in Filter.places(key[a:b], lev[a:b], width):
-                    held[place] = True
-            # A partition holds few segments at a time on a cluster; bool flags are eight times the bits.
-        for k, v in bits.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()])], ["segment", "bits"])
+            for own, *blobs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if own != now and parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits(parts)])], ["segment", "bits"])
+                    parts = []
+                now = own
+                parts.append(tuple(blobs))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits(parts)])], ["segment", "bits"])
 
     return build
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> tuple[Model, DataFrame]:
     """The model, and the table of exact word counts (word, n) in the shared folder."""
-    width = filter_bits // SEGMENTS // 8 * 8
     training = docs.where(common.fold_remainder(F.col(id_col), 10) != 0)
     text = training.select(F.col(text_col).alias("text"))
     # Executors may be lost while later steps read the words, so they are written.
     words = common.materialize(text.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # Segments are dealt to partitions, where sums need no further shuffle.
-    counted = text.mapInArrow(_count_grams, "segment int, key long, n long").repartition("segment").groupBy("segment", "key").agg(F.sum("n").alias("n"))
-    built = counted.mapInArrow(_segments(width), "segment int, bits binary").toArrow()
+    width = max(8, min(filter_bits, TOKEN_BITS * (n + v)) // SEGMENTS // 8 * 8)
+    # Segments are dealt to partitions; each partition's come one after another.
+    packed = text.mapInArrow(_count_grams, "segment int, once binary, often binary, times binary").repartition("segment").sortWithinPartitions("segment")
+    built = packed.mapInArrow(_segments(width), "segment int, bits binary").toArrow()
     flags = bytearray(width * SEGMENTS // 8)
     for own, bits in zip(built.column("segment").to_pylist(), built.column("bits"), strict=True):
         flags[own * width // 8 : (own + 1) * width // 8] = bits.as_py()
-    return Model(Filter(bytes(flags)), int(n), int(v)), words
+    return Model(Filter(flags), int(n), int(v)), words
 
 
-def tune(docs: DataFrame, model: Model, id_col: str, text_col: str, rows: int = TUNE_ROWS) -> float:
+def tune(docs: DataFrame, model: Broadcast, id_col: str, text_col: str, rows: int = TUNE_ROWS) -> float:
     """MU with the best deleted likelihood over about ``rows`` training texts."""
     training = docs.where(common.fold_remainder(F.col(id_col), 10) != 0)
     total = training.count()
     if not total:
-        return model.mu
+        return GRID[3]
     sample = training.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40)) < min(1 << 40, (rows << 40) // total))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in (x for b in batches for x in common.slices(b, 0)):
             _, flat, starts = _flat(batch.column(0).to_pylist(), hashes)
             if len(flat):
-                yield pa.RecordBatch.from_arrays([pa.array(GRID), pa.array([float(shared.value.log_p(flat, starts, mu, True).sum()) for mu in GRID])], ["mu", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(GRID), pa.array([float(model.value.log_p(flat, starts, mu, True).sum()) for mu in GRID])], ["mu", "score"])
 
     got = sample.select(F.col(text_col).alias("text")).mapInArrow(run, "mu double, score double").groupBy("mu").agg(F.sum("score").alias("score")).collect()
-    return max(got, key=lambda r: (round(r["score"], 3), -r["mu"]))["mu"] if got else model.mu
+    return max(got, key=lambda r: (round(r["score"], 3), -r["mu"]))["mu"] if got else GRID[3]
 
 
 def hot_words(words: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -288,10 +316,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filte
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
     model, words = train(docs, id_col, text_col, filter_bits)
-    model.mu = tune(docs, model, id_col, text_col)
+    shared = spark.sparkContext.broadcast(model)
+    mu = tune(docs, shared, id_col, text_col)
     hot, least = hot_words(words)
     logs = {w: math.log10(c + 0.1) for w, c in hot.items()}
-    shared, known = spark.sparkContext.broadcast(model), spark.sparkContext.broadcast(logs)
+    known = spark.sparkContext.broadcast(logs)
     held_out = common.fold_remainder(F.col(id_col), 10) == 0
     source = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -299,19 +328,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, own, logs_ = Hashes(), shared.value, known.value
         names = ["doc_id", "held_out", "text_md5", "n_tokens", "n_hot", "hot_score", "score", "cold"]
-        cold_kind = pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))
         for batch in (x for b in batches for x in common.slices(b, 3)):
             lists, flat, starts = _flat(batch.column(3).to_pylist(), hashes)
-            scores = np.add.reduceat(own.log_p(flat, starts), starts)
-            n_hot, hot_score, cold = [], [], []
-            for x in lists:
-                found = [logs_[w] for w in x if w in logs_]
-                n_hot.append(len(found))
-                hot_score.append(math.fsum(found))
-                cold.append([{"word": w, "tf": n} for w, n in Counter(w for w in x if w not in logs_).items()])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array([len(x) for x in lists], pa.int64()), pa.array(n_hot, pa.int64()), pa.array(hot_score, pa.float64()), pa.array(scores), pa.array(cold, cold_kind)], names
-            )
+            scores = np.add.reduceat(own.log_p(flat, starts, mu), starts)
+            every = [w for x in lists for w in x]
+            sizes = np.diff([*starts, len(every)])
+            logs_of = np.fromiter(map(logs_.get, every, repeat(math.nan)), float, len(every))
+            cold_at = np.flatnonzero(np.isnan(logs_of))
+            hot_score = np.add.reduceat(np.nan_to_num(logs_of), starts)
+            # A text's words that are not hot, each once with its frequency.
+            words_, tf, ends = [], [], np.searchsorted(cold_at, starts + sizes).tolist()
+            offsets, lo = [0], 0
+            picked = [every[i] for i in cold_at.tolist()]
+            for hi in ends:
+                found = Counter(picked[lo:hi])
+                words_ += found.keys()
+                tf += found.values()
+                offsets.append(len(words_))
+                lo = hi
+            cold = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(tf, pa.int64())], ["word", "tf"]))
+            n_hot = sizes - np.diff([0, *ends])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes), pa.array(n_hot), pa.array(hot_score), pa.array(scores), cold], names)
 
     scored = source.mapInArrow(
         run, f"doc_id {kind}, held_out boolean, text_md5 string, n_tokens long, n_hot long, hot_score double, score double, cold array<struct<word:binary,tf:long>>"
