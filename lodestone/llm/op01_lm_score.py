@@ -53,7 +53,9 @@ TUNE_ROWS = 500
 #: The end of a text; no word holds a space.
 END = b" "
 #: n-grams whose counts a worker holds before it sends them, and words whose hashes it keeps.
-HELD, CACHE = 4_000_000, 400_000
+HELD, CACHE = 2_000_000, 300_000
+#: Text bytes scored or counted at a time; every token has some numbers of eight bytes.
+SLICE = 3 << 20
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LEVEL, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)
 
@@ -181,7 +183,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = own[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
 
-    for batch in (x for b in batches for x in common.slices(b, 0)):
+    for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
         for text in batch.column(0).to_pylist():
             own = tokens(text)
             words.update(own)
@@ -212,7 +214,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if some:
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32())] + [pa.array([p[i] for i in some], pa.binary()) for p in parts], ["segment", "once", "often", "times"])
 
-    for batch in (x for b in batches for x in common.slices(b, 0)):
+    for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
         _, flat, starts = _flat(batch.column(0).to_pylist(), hashes)
         before = np.concatenate([[end], flat[:-1]]).astype(np.uint64)
         before[starts] = end
@@ -287,7 +289,7 @@ def tune(docs: DataFrame, model: Broadcast, id_col: str, text_col: str, rows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in (x for b in batches for x in common.slices(b, 0)):
+        for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
             _, flat, starts = _flat(batch.column(0).to_pylist(), hashes)
             if len(flat):
                 yield pa.RecordBatch.from_arrays([pa.array(GRID), pa.array([float(model.value.log_p(flat, starts, mu, True).sum()) for mu in GRID])], ["mu", "score"])
@@ -328,7 +330,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, own, logs_ = Hashes(), shared.value, known.value
         names = ["doc_id", "held_out", "text_md5", "n_tokens", "n_hot", "hot_score", "score", "cold"]
-        for batch in (x for b in batches for x in common.slices(b, 3)):
+        for batch in (x for b in batches for x in common.slices(b, 3, SLICE)):
             lists, flat, starts = _flat(batch.column(3).to_pylist(), hashes)
             scores = np.add.reduceat(own.log_p(flat, starts, mu), starts)
             every = [w for x in lists for w in x]
