@@ -91,7 +91,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
 
 
 #: Text bytes that a Python worker takes from a batch at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -32,11 +32,17 @@ from lodestone.llm import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches kept by a worker, characters indexed at a time, and the longest stretch that is relaxed side by side with others.
-CACHE, INDEXED, SIDE_BY_SIDE = 500_000, 1_000_000, 64
+_SPACE = SPACE.encode()
+#: Stretches kept by a worker (as many again may be on their way out), characters indexed at a time, and the longest stretch that is relaxed side by side with others.
+CACHE, INDEXED, SIDE_BY_SIDE = 150_000, 250_000, 64
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+def _bytes(stretch: str) -> bytes:
+    """What is matched: UTF-8, with the space's sign as one byte that UTF-8 doesn't have."""
+    return stretch.encode().replace(_SPACE, b"\xc1")
+
+
 class Pieces:
     """A vocabulary's tables; plain arrays and dicts, so that it can be broadcast."""
 
@@ -84,12 +90,12 @@ class Pieces:
         for i in merged:
             tied[self.rank[i]] = equal[scores[i]] > 1
         self.tied = tied
-        texts = sorted((self.pieces[i].encode(), i) for i in self.reached)
+        texts = sorted((_bytes(self.pieces[i]), i) for i in self.reached)
         self.width = max(len(t) for t, _ in texts)
         self.needle_id = np.array([i for _, i in texts])
         self.needle = np.array([t for t, _ in texts], f"S{self.width}")
         self.needle_end = np.array([t + b"\xff" * (self.width - len(t)) for t, _ in texts], f"S{self.width}")
-        self.n_bytes = np.array([len(p.encode()) for p in pieces])
+        self.n_bytes = np.array([len(_bytes(p)) for p in pieces])
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -156,15 +162,15 @@ class Encoder:
 
     def __init__(self, pieces: Pieces) -> None:
         self.p = pieces
-        self.words: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {"": b""}
+        self.words, self.old_words = {}, {}
+        self.others, self.old_others = {"": b""}, {}
         self.bytes_ = [np.int32(pieces.byte_ids[b]).tobytes() for b in range(256)]
         self.pair_key, self.pair_good = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _good(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """As ``compatible``, remembering pairs."""
         key = first.astype(np.int64) * len(self.p.pieces) + second
-        if len(self.pair_key) > 4_000_000:
+        if len(self.pair_key) > 500_000:
             self.pair_key, self.pair_good = self.pair_key[:0], self.pair_good[:0]
         new = np.unique(key)
         if len(self.pair_key):
@@ -190,7 +196,7 @@ class Encoder:
 
     def _indexed(self, texts: list[str]) -> list[bytes]:
         p = self.p
-        data = [t.encode() for t in texts]
+        data = [_bytes(t) for t in texts]
         flat = np.frombuffer(b"\0".join(data) + b"\0" * (p.width + 1), np.uint8)
         sizes = np.array([len(d) for d in data])
         begins = np.cumsum(sizes + 1) - sizes - 1
@@ -280,20 +286,38 @@ class Encoder:
 
     def learn(self, words: Iterable[str], others: Iterable[str]) -> None:
         """Encodes what is new: words (which a space precedes) and other stretches."""
-        jobs = [(self.words, w, SPACE + w) for w in words] + [(self.others, w, w) for w in others]
-        cut = [self._cut(t) for _, _, t in jobs]
+        simple: dict[str, list[tuple[dict, str]]] = {}
+        cut: list[tuple[dict, str, list[str]]] = []
         chars = self.p.chars
-        todo = sorted({x for parts in cut for x in parts if x[0] in chars})
-        ids = dict(zip(todo, self.stretches(todo), strict=True)) if todo else {}
-        for (into, key, _), parts in zip(jobs, cut, strict=True):
+        for into, keys, before in ((self.words, words, SPACE), (self.others, others, "")):
+            for key in keys:
+                whole = before + key
+                if len(whole) <= SIDE_BY_SIDE and chars.issuperset(key):
+                    simple.setdefault(whole, []).append((into, key))
+                else:
+                    cut.append((into, key, self._cut(whole)))
+        todo = list(simple)
+        for text, ids in zip(todo, self.stretches(todo), strict=True):
+            for into, key in simple[text]:
+                into[key] = ids
+        todo = sorted({x for _, _, parts in cut for x in parts if x[0] in chars})
+        ids = dict(zip(todo, self.stretches(todo), strict=True))
+        for into, key, parts in cut:
             into[key] = b"".join(ids[x] if x in ids else b"".join(self.bytes_[b] for b in x.encode()) for x in parts)
 
+    def _missing(self, wanted: set[str], now: dict[str, bytes], old: dict[str, bytes]) -> list[str]:
+        """What is in neither generation; what is in the old one only moves on."""
+        wanted -= now.keys()
+        for x in wanted & old.keys():
+            now[x] = old[x]
+        return sorted(wanted - now.keys())
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids (int32) of each text."""
         if len(self.words) + len(self.others) > CACHE:
-            self.words.clear()
-            self.others.clear()
-            self.others[""] = b""
+            # Stretches that are met again before the next time stay.
+            self.words, self.old_words = {}, self.words
+            self.others, self.old_others = {"": b""}, self.others
         plans = []
         words: set[str] = set()
         others: set[str] = set()
@@ -314,9 +338,7 @@ class Encoder:
                     words.update(parts)
                     lines.append((first, parts))
             plans.append(lines if text else [])
-        others = {x for x in others if x not in self.others}
-        words = {x for x in words if x not in self.words}
-        self.learn(words, others)
+        self.learn(self._missing(words, self.words, self.old_words), self._missing(others, self.others, self.old_others))
         feed = self.bytes_[10]
         known, rest = self.words.__getitem__, self.others.__getitem__
         return [
