@@ -399,3 +399,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs; for small tables.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), l AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), r AS (
+  SELECT vec_id, vec_id AS at FROM v UNION SELECT r.vec_id, l.y FROM r JOIN l ON l.x = r.at
+), n AS (
+  SELECT x AS vec_id, count(*) AS n FROM l GROUP BY 1
+)
+SELECT v.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.at) AS component_id, v.vec_id = min(r.at) AS kept FROM v JOIN r USING (vec_id) LEFT JOIN n USING (vec_id) GROUP BY v.vec_id
+"""
