@@ -34,7 +34,7 @@ from lodestone.llm import common
 SAMPLE_ROWS = 12_000
 SAMPLE_CHARS = 50_000
 GRADES = 3
-#: Features in fewer training texts are left out.
+#: Features in fewer training texts than this, or than a seventh of the root of their number, are left out: what a few copies share says nothing.
 LEAST_TEXTS = 4
 L1, STEPS, RATE = 5e-6, 300, 1.0
 #: Log odds below which a feature is left out.
@@ -108,9 +108,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Severit
     for (fs, _), y in zip(rows, toxic, strict=True):
         texts_with[int(y)].update(fs.tolist())
     n = [int((~toxic).sum()), int(toxic.sum())]
+    least = max(LEAST_TEXTS, round(len(rows) ** 0.5 / 7))
     odds = {f: float(np.log((k + 0.5) / (n[1] + 1)) - np.log((texts_with[0][f] + 0.5) / (n[0] + 1))) for f, k in texts_with[1].items()}
     # With weights of one sign, features hardly more frequent in toxic texts would get none.
-    log_odds = {f: x for f, x in odds.items() if x > LEAST_ODDS and texts_with[0][f] + texts_with[1][f] >= LEAST_TEXTS}
+    log_odds = {f: x for f, x in odds.items() if x > LEAST_ODDS and texts_with[0][f] + texts_with[1][f] >= least}
     used = sorted(log_odds)
     y = grade(rows, toxic, log_odds)
     names = np.array(used, np.int64)
