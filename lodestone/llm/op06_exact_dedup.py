@@ -29,6 +29,8 @@ from lodestone.llm import common
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # What a task has committed lies in the shared checkpoint; its local files go at once.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Groups with over a thousandth of all rows number fewer than this; a broadcast of them has a fixed bound.
 HEAVY = 1000
