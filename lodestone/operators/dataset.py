@@ -1,4 +1,4 @@
-"""Datasets: DataFrames with the reference's join, concatenation and statistics semantics.
+"""Datasets: DataFrames with join, concatenation and statistics semantics.
 
 Joins match null keys with null keys. Where both sides have a column of one name the right side's value wins, at the left side's
 place, and is null on left rows without a match.
