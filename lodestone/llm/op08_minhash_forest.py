@@ -38,6 +38,8 @@ TREES, DEPTH, LEAST_DEPTH = 12, 8, 2
 SKETCHES = 64
 #: Rows compared with each other at a time, neighbours seen where a region is parted, and pairs of two components by region.
 REGION, NEIGHBOURS, PAIRS = 2048, 8, 3
+#: Rows of a block whose pairs are held at a time.
+STRIP = 128
 _M = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15], np.uint64)
 _RNG = np.random.RandomState(20240229)
 _MULT = (_RNG.randint(0, 1 << 62, TREES * DEPTH).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -167,8 +169,8 @@ class Region:
             self._take(i, i + gap, match)
 
     def _block(self, a: int, b: int) -> None:
-        for x in range(a, b, 512):
-            i, j = np.arange(x, min(x + 512, b)), np.arange(x, b)
+        for x in range(a, b, STRIP):
+            i, j = np.arange(x, min(x + STRIP, b)), np.arange(x, b)
             match = _estimates(self.sketch, i, j)
             r, c = np.nonzero(match >= self.least)
             keep = i[r] < j[c]
@@ -342,3 +344,24 @@ def keep_first(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str
 
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir), words=3, per_cent=85)
+
+
+#: All pairs that share a shingle; for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle
+  FROM w
+), n AS (
+  SELECT w.doc_id, count(s.shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY 1
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id, doc_id AS at FROM n UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.at
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.at) AS component_id, n.doc_id = min(r.at) AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n
+"""

@@ -30,4 +30,6 @@ QUERIES = {
 ORACLES = {
     "op3_mixing": op3.ORACLE,
     "op6_exact_dedup": op6.ORACLE,
+    "op8_minhash_forest": op8.ORACLE,
+    "op9_multi_index": op9.ORACLE,
 }
