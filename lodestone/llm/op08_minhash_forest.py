@@ -2,17 +2,21 @@
 
 A text's set are its distinct word shingles. Each of :data:`TREES` orders has :data:`DEPTH` MinHash values of its own; a text's key there is
 their sequence. Texts with the same set are one class, and one of each class enters the forest. Every order is sorted as a
-whole (range partitioning over key and id, so equal keys can be cut and no partition grows with a group). A region is a run of
-rows with a common prefix of :data:`LEAST_DEPTH` values. In a region of moderate size all texts are compared by 64 four-bit
-sketches and set sizes; a larger one is parted at deeper prefixes, as deep as its density asks, its rows compared with their
-neighbours on the way, and what is still large at full depth goes through overlapping windows.
+whole (range partitioning over key and id, so equal keys can be cut and no partition grows with a group). A region is all
+rows with a common prefix of :data:`LEAST_DEPTH` values. Texts are compared by 64 four-bit sketches and set sizes.
 
-Candidates are verified on full sets in rounds, each of which keeps to what can still join two components. Round 1 takes each text's best
-candidate of each region. Later rounds take, for each two components that meet in a region, their best pairs. Rounds go on until
-one confirms no link. Sets are made for texts with candidates only and are sent once per pair, never by group.
+Quick rounds, at most :data:`ROUNDS`, join most of what belongs together: each text's best candidate of another component is verified.
+They only spare the last pass work. They search runs of the order: a region of moderate size is compared as a whole; a larger one is parted
+at deeper prefixes, as deep as its density asks, its rows compared with their neighbours on the way, and what is still large at full
+depth goes through overlapping windows. What they pass over is left to the last pass.
+
+The last pass is complete: in every region that holds two components or more, whatever its size, every candidate pair of two components
+is verified. A region's rows are dealt to blocks by hash of id, those of its largest component apart from the others, and each
+two blocks meet in a task's cell; two blocks of the largest component needn't. A pair is taken in the first order in which it shares a
+region, so once. Sets go to a cell once for each of its texts that has a candidate there, not once for each pair.
 
 Recall: two texts of similarity s share a region in a given order with probability s ** LEAST_DEPTH, in none of the orders
-with (1 - s ** LEAST_DEPTH) ** TREES: 3e-7 at 0.85. Links are exact: intersections of full sets are counted.
+with (1 - s ** LEAST_DEPTH) ** TREES: 3e-7 at 0.85, in regions of any size. Links are exact: intersections of full sets are counted.
 
 Cases. Null text or text without words: empty set, linked with nothing, itself kept. Fewer words than a shingle: the whole sequence is
 one. Null id: such rows are reported with a null component and linked with nothing. Repeated rows: same set, same class. Ties
@@ -36,8 +40,12 @@ from lodestone.llm.op01_lm_score import Hashes
 TREES, DEPTH, LEAST_DEPTH = 12, 8, 2
 #: Four-bit sketches by text; candidates match by them up to five standard deviations under the threshold.
 SKETCHES = 64
-#: Rows compared with each other at a time, neighbours seen where a region is parted, and pairs of two components by region.
-REGION, NEIGHBOURS, PAIRS = 2048, 8, 3
+#: Rows that quick rounds compare with each other at a time, and neighbours seen where a region is parted.
+REGION, NEIGHBOURS = 2048, 8
+#: Quick rounds before the last pass.
+ROUNDS = 2
+#: Mean rows of a block of the last pass, and mean bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Rows of a block whose pairs are held at a time.
 STRIP = 128
 _M = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15], np.uint64)
@@ -122,13 +130,18 @@ def _estimates(sketch: np.ndarray, i: np.ndarray, j: np.ndarray | None = None) -
     return SKETCHES - out
 
 
+def _least(threshold: float) -> int:
+    """Matching sketches from which on a pair is a candidate."""
+    p = threshold + (1 - threshold) / 16
+    return int(np.floor(SKETCHES * (p - 5 * np.sqrt(p * (1 - p) / SKETCHES))))
+
+
 class Region:
-    """Candidates among rows sorted by key."""
+    """Each row's best candidate of another component among rows sorted by key."""
 
-    def __init__(self, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, sketch: np.ndarray, labels: np.ndarray, threshold: float, first: bool) -> None:
-        self.ids, self.sizes, self.keys, self.sketch, self.labels, self.threshold, self.first = ids, sizes, keys, sketch, labels, threshold, first
-        p = threshold + (1 - threshold) / 16
-        self.least = int(np.floor(SKETCHES * (p - 5 * np.sqrt(p * (1 - p) / SKETCHES))))
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, sketch: np.ndarray, labels: np.ndarray, threshold: float) -> None:
+        self.ids, self.sizes, self.keys, self.sketch, self.labels, self.threshold = ids, sizes, keys, sketch, labels, threshold
+        self.least = _least(threshold)
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def common(self) -> np.ndarray:
@@ -180,23 +193,16 @@ class Region:
         n, m = self.sizes[i], self.sizes[j]
         good = (match >= self.least) & (np.minimum(n, m) >= self.threshold * np.maximum(n, m) - 1e-9) & (self.labels[i] != self.labels[j]) & (self.ids[i] != self.ids[j])
         i, j, match = i[good], j[good], match[good]
-        if self.first and len(i):
+        if len(i):
             # Each row's best partner; the first block that holds a row doesn't decide alone, so both directions are kept.
             i, j, match = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([match, match])
-            i, j, match = _top(i, j, match, self.ids, i, 1)
-        elif len(i):
-            a, b = np.minimum(self.labels[i], self.labels[j]), np.maximum(self.labels[i], self.labels[j])
-            _, group = np.unique(np.stack([a, b], axis=1), axis=0, return_inverse=True)
-            i, j, match = _top(i, j, match, self.ids, group.ravel(), PAIRS)
-        if len(i):
-            self.found.append((i, j, match))
+            self.found.append(_top(i, j, match, self.ids, i, 1))
 
     def _chosen(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         i, j, match = (np.concatenate([f[k] for f in self.found]) for k in range(3))
-        if self.first:
-            i, j, match = _top(i, j, match, self.ids, i, 1)
+        i, j, match = _top(i, j, match, self.ids, i, 1)
         a, b = np.minimum(self.ids[i], self.ids[j]), np.maximum(self.ids[i], self.ids[j])
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         return pairs[:, 0], pairs[:, 1]
@@ -212,8 +218,8 @@ def _top(i: np.ndarray, j: np.ndarray, match: np.ndarray, ids: np.ndarray, group
     return i[order], j[order], match[order]
 
 
-def candidates(rows: DataFrame, threshold: float, first: bool) -> DataFrame:
-    """rows: doc_id, n, keys, sketch, label. Distinct pairs a < b to verify."""
+def candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows: doc_id, n, keys, sketch, label. Distinct pairs a < b for a quick round."""
     trees = rows.select(
         F.posexplode(F.array(*[F.substring("keys", 1 + 4 * DEPTH * t, 4 * DEPTH) for t in range(TREES)])).alias("tree", "key"), "doc_id", "n", "sketch", "label"
     )
@@ -255,7 +261,7 @@ def candidates(rows: DataFrame, threshold: float, first: bool) -> DataFrame:
         cuts = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1], [True]])) if len(tree) else []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             _, ids, n, keys, sketch, label = (x[lo:hi] for x in whole)
-            a, b = Region(ids, n, keys, sketch, label, threshold, first).search()
+            a, b = Region(ids, n, keys, sketch, label, threshold).search()
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -297,6 +303,128 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+CELL = ("region", "lo", "hi")
+
+
+def remaining(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows: doc_id, n, keys, sketch, label. All candidate pairs of two components, by cell: the ids a and b of pairs, packed, and the ids among them."""
+    heads = [F.substring("keys", 1 + 4 * DEPTH * t, 4 * LEAST_DEPTH) for t in range(TREES)]
+    regions = F.array(*[F.concat(F.lit(bytearray([t])), head) for t, head in enumerate(heads)])
+    trees = rows.select(F.explode(regions).alias("region"), "doc_id", "n", "sketch", "label", F.concat(*heads).alias("heads"))
+    parts = trees.groupBy("region", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("members"))
+    whole = parts.groupBy("region").agg(F.sum("rows").alias("size"), F.sum("members").alias("members"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("rows", "label", "members")).alias("top"))
+    blocks = lambda n, members: F.ceil(F.greatest(n / BLOCK, members * 8 / BLOCK_BYTES)).cast("long")
+    shared = whole.where("labels > 1").select(
+        "region", "size", F.col("top.label").alias("top"), blocks(F.col("top.rows"), F.col("top.members")).alias("tops"),
+        blocks(F.col("size") - F.col("top.rows"), F.col("members") - F.col("top.members")).alias("others"),
+    )
+    joined = common.join_groups(trees, common.materialize(shared, "forest-regions"), "region", "size")
+    at_top, by_hash = F.col("label") == F.col("top"), F.xxhash64("doc_id")
+    dealt = joined.withColumn("block", F.when(at_top, F.pmod(by_hash, F.col("tops"))).otherwise(F.col("tops") + F.pmod(by_hash, F.col("others"))))
+    met = F.sequence(F.when(at_top, F.col("tops")).otherwise(F.lit(0)), F.col("tops") + F.col("others") - 1)
+    cells = dealt.select("region", "doc_id", "n", "sketch", "label", "heads", "block", F.explode(met).alias("met"))
+    cells = cells.select("region", F.least("block", "met").alias("lo"), F.greatest("block", "met").alias("hi"), "doc_id", "n", "sketch", "label", "heads", "block")
+    least = _least(threshold)
+
+    def pairs(cell: tuple[bytes, int, int], parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(parts).combine_chunks()
+        ids, n, label, block = (own.column(k).to_numpy() for k in ("doc_id", "n", "label", "block"))
+        sketch = np.frombuffer(b"".join(own.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCHES // 16)
+        head = np.frombuffer(b"".join(own.column("heads").to_pylist()), np.uint64).reshape(-1, TREES)[:, : cell[0][0]]
+        left, right = np.flatnonzero(block == cell[1]), np.flatnonzero(block == cell[2])
+        for x in range(0, len(left), STRIP):
+            i = left[x : x + STRIP]
+            r, c = np.nonzero(_estimates(sketch, i, right) >= least)
+            r, c = i[r], right[c]
+            good = (np.minimum(n[r], n[c]) >= threshold * np.maximum(n[r], n[c]) - 1e-9) & (label[r] != label[c])
+            if cell[1] == cell[2]:
+                good &= r < c
+            r, c = r[good], c[good]
+            # An earlier order in which the two share a region takes the pair.
+            new = ~(head[r] == head[c]).any(axis=1)
+            a, b = np.minimum(ids[r[new]], ids[c[new]]), np.maximum(ids[r[new]], ids[c[new]])
+            if len(a):
+                named = np.unique(np.concatenate([a, b])).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([cell[0]], pa.binary()), pa.array([cell[1]]), pa.array([cell[2]]), pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary()), pa.array([named], pa.list_(pa.int64()))],
+                    [*CELL, "a", "b", "ids"],
+                )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in CELL), strict=True))
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi > lo:
+                    if keys[lo] != now and held:
+                        yield from pairs(now, held)
+                        held = []
+                    now = keys[lo]
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from pairs(now, held)
+
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "region binary, lo long, hi long, a binary, b binary, ids array<long>")
+
+
+def confirmed_cells(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
+    """Links among the pairs of :func:`remaining`, enough of them to join what they join: no link of two texts that a cell's other links join already."""
+    needed = pairs.select(*CELL, F.explode("ids").alias("doc_id")).distinct().join(sets, "doc_id")
+    none = F.lit(None)
+    both = needed.select(*CELL, "doc_id", "members", none.cast("binary").alias("a"), none.cast("binary").alias("b")).unionByName(
+        pairs.select(*CELL, none.cast("long").alias("doc_id"), none.cast("binary").alias("members"), "a", "b")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets_, codes, up = None, {}, None, {}
+
+        def root(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for *cell, doc_id, members, a, b in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if cell != now:
+                    now, sets_, codes, up = cell, {}, None, {}
+                if doc_id is not None:
+                    sets_[doc_id] = np.frombuffer(members, np.uint64)
+                    continue
+                if codes is None:
+                    values, code = np.unique(np.concatenate(list(sets_.values())), return_inverse=True)
+                    codes = dict(zip(sets_, np.split(code, np.cumsum([len(x) for x in sets_.values()])[:-1]), strict=True))
+                    marked, sets_ = np.zeros(len(values), bool), {}
+                left, right = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                order = np.lexsort((right, left))
+                left, right = left[order], right[order]
+                heads = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])).tolist()
+                for lo, hi in zip(heads, [*heads[1:], len(left)], strict=True):
+                    x = int(left[lo])
+                    others = [y for y in right[lo:hi].tolist() if root(y) != root(x)]
+                    if not others:
+                        continue
+                    marked[codes[x]] = True
+                    sizes = np.array([len(codes[y]) for y in others])
+                    shared = np.add.reduceat(marked[np.concatenate([codes[y] for y in others])].astype(np.int64), np.cumsum(sizes) - sizes)
+                    marked[codes[x]] = False
+                    for k in np.flatnonzero(100 * shared >= per_cent * (len(codes[x]) + sizes - shared)).tolist():
+                        if root(others[k]) != root(x):
+                            up[root(others[k])] = root(x)
+                            links.append((x, others[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    dealt = both.select(*CELL, "doc_id", "members", "a", "b").repartition(*CELL).sortWithinPartitions(*CELL, F.col("doc_id").asc_nulls_last())
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with their components' labels; a row in no component keeps its id."""
+    own = rows.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return own.withColumn("label", F.coalesce("label", "doc_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
     signed = common.materialize(signatures(docs, words, id_col, text_col), "forest-signatures")
@@ -305,24 +433,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
     reps = signed.where("doc_id IS NOT NULL").join(classes.select(F.col("digest").alias("__digest"), F.col("rep").alias("__rep")), (F.col("digest") == F.col("__digest")) & (F.col("doc_id") == F.col("__rep")))
     rows = common.materialize(reps.select("doc_id", "n", "keys", "sketch", F.col("doc_id").alias("label")).dropDuplicates(["doc_id"]), "forest-rows")
 
-    links, labels, sets = None, None, None
-    first = True
-    while True:
-        pairs = common.materialize(candidates(rows, per_cent / 100, first), "forest-pairs")
+    links, labels, seen, every = None, None, None, rows
+    for _ in range(ROUNDS):
+        found = candidates(rows, per_cent / 100)
+        pairs = common.materialize(found if seen is None else found.join(seen, ["a", "b"], "left_anti"), "forest-pairs")
         if pairs.isEmpty():
             break
-        if first:
-            # Whoever has a candidate at all has one now.
+        if seen is None:
             active = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "forest-active")
             sets = common.materialize(sets_of(docs, active, words, id_col, text_col).dropDuplicates(["doc_id"]), "forest-sets")
+            rows = rows.join(active, "doc_id", "left_semi")
+        seen = pairs if seen is None else seen.unionByName(pairs)
         new = common.materialize(confirmed(pairs, sets, per_cent), "forest-links")
-        if new.isEmpty() and not first:
+        if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
         labels = connected(links)
-        own = rows.drop("label").join(active, "doc_id", "left_semi").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        rows = common.materialize(own.withColumn("label", F.coalesce("label", "doc_id")), "forest-rows")
-        first = False
+        rows = common.materialize(_labelled(rows, labels), "forest-rows")
+
+    rest = common.materialize(remaining(every if labels is None else _labelled(every, labels), per_cent / 100), "forest-rest")
+    if not rest.isEmpty():
+        wanted = common.materialize(rest.select(F.explode("ids").alias("doc_id")).distinct(), "forest-wanted")
+        sets = common.materialize(sets_of(docs, wanted, words, id_col, text_col).dropDuplicates(["doc_id"]), "forest-sets")
+        new = common.materialize(confirmed_cells(rest, sets, per_cent), "forest-links")
+        if not new.isEmpty():
+            links = new if links is None else links.unionByName(new)
+            labels = connected(links)
 
     if labels is not None:
         known = labels.select(F.col("node").alias("rep"), F.col("label"))
