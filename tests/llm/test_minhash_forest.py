@@ -121,3 +121,17 @@ def test_one_link_among_many_near_misses(spark):
     got = {r.doc_id: r.component_id for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
     want = {d: c for d, (_, c) in by_hand(rows, 3, 85).items()}
     assert len(set(want.values())) == 4 and got == want
+
+
+def test_large_region_with_links_at_the_threshold(spark, monkeypatch):
+    """Texts of one region that link with one other each, at 0.851, far from each other in every order."""
+    monkeypatch.setattr(op, "REGION", 8)
+    monkeypatch.setattr(op, "BLOCK", 32, raising=False)
+    rng, rows = random.Random(4), []
+    base = prose(rng, 300, 100_000).split()
+    for _ in range(100):
+        own = edited(rng, base, rng.sample(range(0, 297, 3), 6))
+        rows += [(len(rows) + k, " ".join(w)) for k, w in enumerate((own, edited(rng, own, range(11, 299, 38))))]
+    got = {r.doc_id: r.component_id for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    want = {d: c for d, (_, c) in by_hand(rows, 3, 85).items()}
+    assert len(set(want.values())) == 100 and got == want
