@@ -272,6 +272,28 @@ def join_full_build_right(spark, sf_dir):
     return left.full_join(right, "o_custkey", "c_custkey", build_right=True).df
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[Dataset, Dataset]:
+    """Whole tables with unmatched rows on both sides: orders with nulled keys, and customers with keys moved by 300."""
+    right = Reader(spark).projected_generic(Col("c_custkey"), Col("c_name")).read(path(sf_dir, "customer")).df
+    return Dataset(orders(spark, sf_dir).df.select("o_orderkey", "cust")), Dataset(right.select((F.col("c_custkey") + 300).alias("moved"), "c_name"))
+
+
+_WHOLE = "SELECT o_orderkey, cust, moved, c_name FROM " + ORDERS + " l {} JOIN (SELECT c_custkey + 300 AS moved, c_name FROM customer) r ON l.cust IS NOT DISTINCT FROM r.moved"
+
+
+def _join_whole(name: str, how: str, build_right: bool = False) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        left, right = _whole(spark, sf_dir)
+        return getattr(left, f"{how}_join")(right, "cust", "moved", build_right=build_right).df
+
+    QUERIES[name], ORACLES[name] = run, _WHOLE.format(how.upper())
+
+
+for _how in ("left", "right", "full"):
+    _join_whole(f"join_{_how}_whole", _how)
+_join_whole("join_full_whole_build_right", "full", True)
+
+
 @query("SELECT l.k, r.k2, l.n, r.m FROM (SELECT nullif(n_regionkey, 2) AS k, count(*) AS n FROM nation GROUP BY 1) l FULL JOIN (SELECT nullif(r_regionkey, 3) AS k2, count(*) AS m FROM region GROUP BY 1) r ON l.k IS NOT DISTINCT FROM r.k2")
 def join_null_keys(spark, sf_dir):
     left = Reader(spark).read(path(sf_dir, "nation")).df.groupBy(F.expr("nullif(n_regionkey, 2)").alias("k")).agg(F.count(F.lit(1)).alias("n"))
