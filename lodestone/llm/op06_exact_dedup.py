@@ -11,7 +11,7 @@ digest and whole normal form. The grouping combines before its shuffle, so a tex
 travels once per task. Digests under which different texts meet are split by their texts.
 
 Cases. Null text: as empty. Null id: loses ties to every other id. Repeated rows: each counts as a member;
-rows that share an id share their fate. Ties: the smallest id stays. Empty table: empty result. Only the id and
+rows that share id and text share their fate, and :func:`keep_first` can hold them to one. Ties: the smallest id stays. Empty table: empty result. Only the id and
 text columns are read, whatever others there are.
 """
 
@@ -146,10 +146,22 @@ def deduplicate(
     return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"), "keep_locator")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    lost = common.materialize(deduplicate(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__lost_id")), "dedup-lost")
-    return docs.join(common.maybe_broadcast(lost, 16), F.col(id_col).eqNullSafe(F.col("__lost_id")), "left_anti")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; what goes is told by id and text. ``repeats``: rows of one id and one text all stay, else one of them."""
+    marked = deduplicate(docs, id_col, text_col).where("group_size > 1").groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("times"))
+    odd = marked.where(~F.col("kept") if repeats else ~F.col("kept") | (F.col("times") > 1))
+    odd = common.materialize(odd.select(F.col("doc_id").alias("__odd_id"), F.unhex("text_sha256").alias("__odd_digest"), F.col("kept").alias("__odd_kept")), "dedup-odd")
+    same = F.col(id_col).eqNullSafe(F.col("__odd_id")) & (F.unhex(sha256(normal_form(F.col(text_col)))) == F.col("__odd_digest"))
+    rest = docs.join(common.maybe_broadcast(odd, 64), same, "left_anti")
+    again = odd.where("__odd_kept")
+    if repeats or again.isEmpty():
+        return rest
+    # Partial minima: a text repeated in a third of all rows travels once per task.
+    found = docs.join(common.maybe_broadcast(again, 64), same)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rank = F.struct((-F.char_length(text)).alias("points"), text.alias("text"), F.xxhash64(*docs.columns).alias("rest"))
+    one = found.groupBy("__odd_id", "__odd_digest").agg(F.min_by(F.struct(*docs.columns), rank).alias("__row"))
+    return rest.unionByName(one.select("__row.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,14 @@ def test_without_locators_and_empty(spark, corpus, empty):
     df = spark.createDataFrame(corpus, empty.schema).distinct()
     assert {r.keep_locator for r in op.deduplicate(df).collect()} == {None}
     assert op.deduplicate(empty).count() == 0 and op.keep_first(empty).count() == 0
+
+
+def test_filter_goes_by_id_and_text(spark):
+    """A copy without id, or with the id of another text, takes no clean text with it; of repeated rows one stays where asked."""
+    rows = [(None, "a copy"), (1, "a copy"), (None, "clean"), (7, "also clean"), (7, "b"), (3, "b"), (9, "z"), (9, "z"), (None, "no id"), (None, "no  id"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(1, "a copy"), (None, "clean"), (7, "also clean"), (3, "b"), (9, "z")]
+    one = [tuple(r) for r in op.keep_first(df, repeats=False).collect()]
+    assert sorted(one, key=str) == sorted([*want, (None, "no  id")], key=str)
+    every = [tuple(r) for r in op.keep_first(df).collect()]
+    assert sorted(every, key=str) == sorted([*want, (9, "z"), *[r for r in rows if "id" in r[1]]], key=str)
