@@ -1,22 +1,22 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 Counts of words and word pairs of the training fold are quantised on a logarithmic scale: level(c) = 1 + floor(log(c) / log(BASE)).
-An n-gram of level q enters a Bloom filter as the items (n-gram, 1) ... (n-gram, q). The filter is broadcast; a worker finds an
-n-gram's level by probing (n-gram, 1), (n-gram, 2), ... until one is missing, and takes the middle of the counts of that
-level. A pair's count is held to those of its words, which a true count cannot exceed; that undoes many false positives.
+An n-gram of level q enters a Bloom filter as the items (n-gram, 1) ... (n-gram, q). An n-gram's level is found by probing
+(n-gram, 1), (n-gram, 2), ... until one is missing; the middle of the counts of that level stands for its count.
+A pair's count is held to those of its words, which a true count cannot exceed; that undoes many false positives.
 From these counts come smoothed probabilities: P(w | v) = (c(v w) + MU * P(w)) / (c(v) + MU), P(w) add-0.1 over all counts.
-MU is chosen from a fixed grid by deleted estimation over a bounded sample of training texts: each pair is scored with its own
-occurrence taken from the counts.
+MU is the value at which the mass that the model leaves to pairs not seen, the mean of MU / (c(v) + MU) over all tokens v, equals the
+share of training tokens whose pair occurs once (Good and Turing's estimate of the unseen). Both sides are taken over the whole training fold.
 
-The filter is made of :data:`SEGMENTS` segments; an n-gram's hash names its segment and all its items fall in it. Tasks send their counts
-packed by segment, so each segment is built whole by one task from summed counts, and the driver only joins them. The filter has
-:data:`TOKEN_BITS` bits per training token up to ``filter_bits``, which is the bound of what is broadcast; every n-gram enters it
-at every corpus size. A corpus beyond that bound wants a larger ``filter_bits`` to keep the rate of false positives, and more
-segments as well, so that the counts of one fit a worker.
+The filter has :data:`TOKEN_BITS` bits per training token at every corpus size, so its rate of false positives stays. It is made of
+segments; an n-gram's hash names its segment and all its items fall in it. Tasks send their counts packed by segment, and each segment is
+built whole by one task from summed counts; segments number so many that the counts of one fit a worker. A filter of at most
+``broadcast_bits`` is broadcast. A larger one stays in the shared folder and is probed where it lies: a run of texts sends its distinct n-grams,
+packed, to the shards (runs of segments) that hold them, each shard's task probes them, and the levels return to the run. Both ways give the same scores.
 
-The base score needs exact counts. Words that occur often (at most :data:`HOT_WORDS` of them, by a threshold on their counts; longer words
-than :data:`HOT_BYTES` bytes are left out) are broadcast with their counts; the others' are joined by a shuffle, in which each text sends a
-word once. Neither counts nor words of the corpus come to the driver beyond these bounds.
+The base score needs exact counts. Words that occur often (at most :data:`HOT_WORDS` of them, by a threshold on their counts) are broadcast
+with their counts; the others' are joined by a shuffle, in which each text sends a word once. A word of more than :data:`NAME_BYTES`
+bytes goes by its SHA-256. Neither counts nor words of the corpus come to the driver beyond these bounds.
 
 Cases. Null text: as empty; its one token is the end. Null id: held out by the rule for empty text (crc32 0). Repeated rows: each is a
 row of the corpus and gets a row of the result. Very long texts: whole. Empty table, or no training text: all counts 0, probabilities uniform.
@@ -25,6 +25,8 @@ Words that occur in held-out texts alone have count 0. Only the id and text colu
 
 from __future__ import annotations
 
+import hashlib
+import io
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -33,23 +35,26 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-FILTER_BITS = 1 << 29
-SEGMENT_BITS = 12
-SEGMENTS = 1 << SEGMENT_BITS
+#: A filter of at most so many bits (128 MB) is broadcast.
+BROADCAST_BITS = 1 << 30
+#: Segments are a power of two: at least so many, and enough for each to hold about so many training tokens.
+LEAST_SEGMENT_BITS, MOST_SEGMENT_BITS, SEGMENT_TOKENS = 12, 24, 1 << 20
+#: Bits of a shard, the part of a larger filter that one task probes at a time, and the exponent of the least number of them.
+SHARD_BITS, LEAST_SHARDS = 1 << 26, 5
 PROBES = 4
 #: Filter bits by training token.
 TOKEN_BITS = 8
 BASE = 1.5
 LEVELS = 64
-HOT_WORDS, HOT_BYTES = 150_000, 64
-GRID = (1.0, 5.0, 20.0, 100.0, 500.0, 2500.0, 12500.0, 100_000.0)
-TUNE_ROWS = 500
+HOT_WORDS, NAME_BYTES = 150_000, 64
+#: MU lies between these.
+LEAST_MU, MOST_MU = 1e-3, 1e9
 #: The end of a text; no word holds a space.
 END = b" "
 #: n-grams whose counts a worker holds before it sends them, and words whose hashes it keeps.
@@ -98,12 +103,16 @@ def level(count: np.ndarray) -> np.ndarray:
 MIDDLE = np.array([0.0] + [(math.ceil(BASE ** (q - 1) - 1e-9) + max(math.ceil(BASE**q - 1e-9) - 1, math.ceil(BASE ** (q - 1) - 1e-9))) / 2 for q in range(1, LEVELS + 1)])
 
 
+def segment(key: np.ndarray, segment_bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - segment_bits)).astype(np.int64)
+
+
 class Filter:
-    """The log-frequency Bloom filter: SEGMENTS segments of equal size."""
+    """The log-frequency Bloom filter, or its segments from ``first`` on; each is ``width`` bits."""
 
-    def __init__(self, bits: bytes | bytearray) -> None:
+    def __init__(self, bits: bytes | bytearray, width: int, segment_bits: int, first: int = 0) -> None:
         self.bytes_ = np.frombuffer(bits, np.uint8)
-        self.width = len(bits) * 8 // SEGMENTS
+        self.width, self.segment_bits, self.first = width, segment_bits, first
 
     @staticmethod
     def start(key: np.ndarray, q: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +127,8 @@ class Filter:
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """By membership probes, level after level, until one is missing."""
-        out, open_ = np.zeros(len(key), np.int64), np.arange(len(key))
-        base = segment(key).astype(np.uint64) * np.uint64(self.width)
+        out, open_ = np.zeros(len(key), np.uint8), np.arange(len(key))
+        base = (segment(key, self.segment_bits) - self.first).astype(np.uint64) * np.uint64(self.width)
         for q in range(1, LEVELS + 1):
             at = base[open_]
             x, step = self.start(key[open_], q)
@@ -134,37 +143,51 @@ class Filter:
         return out
 
 
-def segment(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - SEGMENT_BITS)).astype(np.int64)
+_END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
+
+
+def before(words: np.ndarray, starts: np.ndarray, end: int | np.uint64 = _END_HASH) -> np.ndarray:
+    """What stands before each token; the end before a text's first."""
+    out = np.concatenate([np.array([end], words.dtype), words[:-1]])
+    out[starts] = end
+    return out
 
 
 class Model:
-    """The broadcast part: filter and sizes."""
-
-    def __init__(self, filter_: Filter, n: int, v: int) -> None:
-        self.filter, self.n, self.v = filter_, n, v
-
-    def parts(self, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: estimated counts of the token, of the one before and of the pair."""
-        end = np.uint64(xxhash.xxh3_64_intdigest(END))
-        before = np.concatenate([[end], words[:-1]]).astype(np.uint64)
-        before[starts] = end
-        unique, back = np.unique(words, return_inverse=True)
-        known = np.concatenate([MIDDLE[self.filter.levels(unique)], MIDDLE[self.filter.levels(np.array([end]))]])
-        own = known[back]
-        prior = np.concatenate([[known[-1]], own[:-1]])
-        prior[starts] = known[-1]
-        pair = np.minimum(MIDDLE[self.filter.levels(pair_hash(before, words))], np.minimum(own, prior))
-        return own, prior, pair
-
-    def log_p(self, words: np.ndarray, starts: np.ndarray, mu: float, deleted: bool = False) -> np.ndarray:
-        """log10 P(token | token before); ``deleted``: without one occurrence of each pair."""
-        own, prior, pair = self.parts(words, starts)
-        if deleted:
-            own, prior, pair = np.maximum(own - 1, 0), np.maximum(prior - 1, 0), np.maximum(pair - 1, 0)
-            pair = np.minimum(pair, prior)
-        p = (own + 0.1) / (self.n + 0.1 * (self.v + 1))
-        return np.log10((pair + mu * p) / (prior + mu))
+    """Sizes, MU, and where the filter is: broadcast with the model, or as a table of segments."""
+
+    def __init__(self, n: int, v: int, mu: float, segment_bits: int, width: int, filter_: Filter | None = None, segments: DataFrame | None = None) -> None:
+        self.n, self.v, self.mu, self.segment_bits, self.width, self.filter, self.segments = n, v, mu, segment_bits, width, filter_, segments
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "segments": None}
+
+    def log_p(self, own: np.ndarray, prior: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """log10 P(token | token before) from the levels of the token, the one before and the pair."""
+        own, prior, pair = (np.minimum(MIDDLE[x], self.n) for x in (own, prior, pair))
+        pair = np.minimum(pair, np.minimum(own, prior))
+        p = np.minimum((own + 0.1) / (self.n + 0.1 * (self.v + 1)), 1.0)
+        return np.log10((pair + self.mu * p) / (prior + self.mu))
+
+    def scores(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probabilities of whole texts, by the filter at hand."""
+        unique, back = np.unique(np.concatenate([words, [_END_HASH]]), return_inverse=True)
+        known = self.filter.levels(unique)[back]
+        own, end = known[:-1], known[-1]
+        pair = self.filter.levels(pair_hash(before(words, starts), words))
+        return np.add.reduceat(self.log_p(own, before(own, starts, end), pair), starts)
+
+
+def unseen_mu(sizes: list[tuple[int, int]], singles: int) -> float:
+    """MU for words of these (count, tokens in all) if ``singles`` tokens have a pair that occurs once."""
+    c = np.array([x for x, _ in sizes], float)
+    tokens_ = np.array([x for _, x in sizes], float)
+    low, high = math.log(LEAST_MU), math.log(MOST_MU)
+    for _ in range(100):
+        mid = (low + high) / 2
+        mu = math.exp(mid)
+        low, high = (mid, high) if float((tokens_ * (mu / (c + mu))).sum()) < singles else (low, mid)
+    return math.exp((low + high) / 2)
 
 
 def _flat(texts: list[str | None], hashes: Hashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -173,6 +196,11 @@ def _flat(texts: list[str | None], hashes: Hashes) -> tuple[list[list[bytes]], n
     return lists, hashes.array([w for x in lists for w in x]), starts
 
 
+def name(word: bytes) -> bytes:
+    """The word, or for a long one a name that no word has."""
+    return word if len(word) <= NAME_BYTES else END + hashlib.sha256(word).digest()
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, summed over some millions of tokens at a time."""
     words, held = Counter(), 0
@@ -181,7 +209,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sorted(words)
         for lo in range(0, len(own), 100_000):
             part = own[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name(w) for w in part], pa.binary()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
 
     for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
         for text in batch.column(0).to_pylist():
@@ -194,42 +222,47 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of hashed words and pairs, summed likewise."""
-    hashes, grams, held = Hashes(), [], 0
-    end = np.uint64(xxhash.xxh3_64_intdigest(END))
+def _count_grams(segment_bits: int):
+    """Counts of hashed words and pairs, summed likewise and packed by segment."""
+    places = np.arange(1 << segment_bits, dtype=np.uint64) << np.uint64(64 - segment_bits)
 
-    def out() -> Iterator[pa.RecordBatch]:
+    def out(grams: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         key, n = np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         # Sorted keys lie by segment. Most counts are 1 and not sent.
-        parts = []
-        for own, counts in ((key[n == 1], None), (key[n > 1], n[n > 1])):
-            cuts = np.searchsorted(own, np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(64 - SEGMENT_BITS)).tolist() + [len(own)]
-            raw, times = own.tobytes(), None if counts is None else counts.astype(np.uint32).tobytes()
-            parts.append([raw[8 * a : 8 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-            if times is not None:
-                parts.append([times[4 * a : 4 * b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
-        for lo in range(0, SEGMENTS, 256):
-            some = [i for i in range(lo, lo + 256) if parts[0][i] or parts[1][i]]
-            if some:
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32())] + [pa.array([p[i] for i in some], pa.binary()) for p in parts], ["segment", "once", "often", "times"])
+        once, often, times = key[n == 1], key[n > 1], n[n > 1].astype(np.uint32)
+        cuts, cuts_often = ([*np.searchsorted(k, places), len(k)] for k in (once, often))
+        some = np.flatnonzero((np.diff(cuts) > 0) | (np.diff(cuts_often) > 0)).tolist()
+        for lo in range(0, len(some), 256):
+            own = some[lo : lo + 256]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(own, pa.int32()), pa.array([once[cuts[i] : cuts[i + 1]].tobytes() for i in own], pa.binary()),
+                    pa.array([often[cuts_often[i] : cuts_often[i + 1]].tobytes() for i in own], pa.binary()), pa.array([times[cuts_often[i] : cuts_often[i + 1]].tobytes() for i in own], pa.binary()),
+                ],
+                ["segment", "once", "often", "times"],
+            )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, grams, held = Hashes(), [], 0
+        for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
+            _, flat, starts = _flat(batch.column(0).to_pylist(), hashes)
+            grams += [flat, pair_hash(before(flat, starts), flat)]
+            held += len(flat)
+            if held >= HELD:
+                yield from out(grams)
+                grams, held = [], 0
+        yield from out(grams)
 
-    for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
-        _, flat, starts = _flat(batch.column(0).to_pylist(), hashes)
-        before = np.concatenate([[end], flat[:-1]]).astype(np.uint64)
-        before[starts] = end
-        grams += [flat, pair_hash(before, flat)]
-        held += len(flat)
-        if held >= HELD:
-            yield from out()
-            grams, held = [], 0
-    yield from out()
+    return count
+
+
+SEGMENT_ROW = "segment int, bits binary, singles long"
 
 
 def _segments(width: int):
-    """Builds segments from packed counts, which come sorted by segment: one row (segment, bits) each."""
+    """Builds segments from packed counts, which come sorted by segment: one row (segment, bits, n-grams that occur once) each."""
 
-    def bits(parts: list[tuple[bytes, bytes, bytes]]) -> bytes:
+    def bits(parts: list[tuple[bytes, bytes, bytes]]) -> tuple[bytes, int]:
         once, often = (np.frombuffer(b"".join(p[k] for p in parts), np.uint64) for k in (0, 1))
         times = np.frombuffer(b"".join(p[2] for p in parts), np.uint32).astype(np.int64)
         key = np.concatenate([once, often])
@@ -237,7 +270,8 @@ def _segments(width: int):
         order = np.argsort(key)
         key, n = key[order], n[order]
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, q = key[heads], level(np.add.reduceat(n, heads).astype(float))
+        n = np.add.reduceat(n, heads)
+        key, q = key[heads], level(n.astype(float))
         # A row for each level that an n-gram enters.
         key = np.repeat(key, q)
         lev = np.arange(len(key)) - np.repeat(np.cumsum(q) - q, q) + 1
@@ -245,123 +279,215 @@ def _segments(width: int):
         x, step = Filter.start(key, lev)
         for i in range(PROBES):
             held[Filter.place(x, step, i, width)] = True
-        return np.packbits(held, bitorder="little").tobytes()
+        return np.packbits(held, bitorder="little").tobytes(), int((n == 1).sum())
+
+    def row(own: int, parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        data, singles = bits(parts)
+        return pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([data], pa.binary()), pa.array([singles], pa.int64())], ["segment", "bits", "singles"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
             for own, *blobs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if own != now and parts:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits(parts)])], ["segment", "bits"])
+                    yield row(now, parts)
                     parts = []
                 now = own
                 parts.append(tuple(blobs))
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits(parts)])], ["segment", "bits"])
+            yield row(now, parts)
 
     return build
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> tuple[Model, DataFrame]:
+def by_count(words: DataFrame) -> list[tuple[int, int, int, int]]:
+    """(step, words, tokens, least count) by count on a scale of some thousand steps: a small table whatever the corpus."""
+    step = F.floor(F.log(F.col("n").cast("double")) * 64).cast("int")
+    grouped = words.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens"), F.min("n").alias("least"))
+    return sorted((r["s"], r["words"], r["tokens"], r["least"]) for r in grouped.collect())
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS, token_bits: int = TOKEN_BITS) -> tuple[Model, DataFrame]:
     """The model, and the table of exact word counts (word, n) in the shared folder."""
     training = docs.where(common.fold_remainder(F.col(id_col), 10) != 0)
     text = training.select(F.col(text_col).alias("text"))
     # Executors may be lost while later steps read the words, so they are written.
     words = common.materialize(text.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    width = max(8, min(filter_bits, TOKEN_BITS * (n + v)) // SEGMENTS // 8 * 8)
+    steps = by_count(words)
+    n, v = sum(x[2] for x in steps), sum(x[1] for x in steps)
+    segment_bits = int(np.clip(math.ceil(math.log2(max(n, 1) / SEGMENT_TOKENS)), LEAST_SEGMENT_BITS, MOST_SEGMENT_BITS))
+    width = max(8, token_bits * (n + v) // (1 << segment_bits) // 8 * 8)
     # Segments are dealt to partitions; each partition's come one after another.
-    packed = text.mapInArrow(_count_grams, "segment int, once binary, often binary, times binary").repartition("segment").sortWithinPartitions("segment")
-    built = packed.mapInArrow(_segments(width), "segment int, bits binary").toArrow()
-    flags = bytearray(width * SEGMENTS // 8)
-    for own, bits in zip(built.column("segment").to_pylist(), built.column("bits"), strict=True):
-        flags[own * width // 8 : (own + 1) * width // 8] = bits.as_py()
-    return Model(Filter(flags), int(n), int(v)), words
-
-
-def tune(docs: DataFrame, model: Broadcast, id_col: str, text_col: str, rows: int = TUNE_ROWS) -> float:
-    """MU with the best deleted likelihood over about ``rows`` training texts."""
-    training = docs.where(common.fold_remainder(F.col(id_col), 10) != 0)
-    total = training.count()
-    if not total:
-        return GRID[3]
-    sample = training.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40)) < min(1 << 40, (rows << 40) // total))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
-            _, flat, starts = _flat(batch.column(0).to_pylist(), hashes)
-            if len(flat):
-                yield pa.RecordBatch.from_arrays([pa.array(GRID), pa.array([float(model.value.log_p(flat, starts, mu, True).sum()) for mu in GRID])], ["mu", "score"])
-
-    got = sample.select(F.col(text_col).alias("text")).mapInArrow(run, "mu double, score double").groupBy("mu").agg(F.sum("score").alias("score")).collect()
-    return max(got, key=lambda r: (round(r["score"], 3), -r["mu"]))["mu"] if got else GRID[3]
+    packed = text.mapInArrow(_count_grams(segment_bits), "segment int, once binary, often binary, times binary").repartition("segment").sortWithinPartitions("segment")
+    built = packed.mapInArrow(_segments(width), SEGMENT_ROW)
+    if width << segment_bits <= broadcast_bits:
+        rows = built.toArrow()
+        flags = bytearray((width << segment_bits) // 8)
+        for own, bits in zip(rows.column("segment").to_pylist(), rows.column("bits"), strict=True):
+            flags[own * width // 8 : (own + 1) * width // 8] = bits.as_py()
+        singles, filter_, segments = sum(rows.column("singles").to_pylist()), Filter(flags, width, segment_bits), None
+    else:
+        segments = common.materialize(built, "lm-segments")
+        singles, filter_ = segments.agg(F.coalesce(F.sum("singles"), F.lit(0))).first()[0], None
+    # Step 0 holds the words that occur once.
+    singles -= sum(x[1] for x in steps if x[3] == 1)
+    mu = unseen_mu([(tokens_ / words_, tokens_) for _, words_, tokens_, _ in steps], singles)
+    return Model(int(n), int(v), mu, segment_bits, width, filter_, segments), words
 
 
 def hot_words(words: DataFrame) -> tuple[dict[bytes, int], int]:
-    """The most frequent words with their counts, at most HOT_WORDS of them, and the count from which on all short words are in."""
-    short = words.where(F.length("word") <= HOT_BYTES)
-    # Words by count, on a scale of some thousand steps: a small table whatever the corpus.
-    step = F.floor(F.log(F.col("n").cast("double")) * 64).cast("int")
-    steps = sorted(((r["s"], r["words"], r["least"]) for r in short.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()), reverse=True)
+    """The most frequent words with their counts, at most HOT_WORDS of them, and the count from which on all words are in."""
     least, room = None, HOT_WORDS
-    for _, found, low in steps:
+    for _, found, _, low in reversed(by_count(words)):
         if found > room:
             break
         least, room = low, room - found
     if least is None:
         return {}, 1 << 62
-    return {bytes(r["word"]): r["n"] for r in short.where(F.col("n") >= least).collect()}, least
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
+    return {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= least).collect()}, least
+
+
+PREPARED = ["doc_id", "held_out", "text_md5", "n_tokens", "n_hot", "hot_score", "cold"]
+
+
+def _prepared(batch: pa.RecordBatch, hashes: Hashes, logs: dict[bytes, float]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """What a slice of texts says without the filter, and its hashed tokens and the texts' starts. batch: doc_id, held_out, text_md5, text."""
+    lists, flat, starts = _flat(batch.column(3).to_pylist(), hashes)
+    every = [w if len(w) <= NAME_BYTES else name(w) for x in lists for w in x]
+    sizes = np.diff([*starts, len(every)])
+    logs_of = np.fromiter(map(logs.get, every, repeat(math.nan)), float, len(every))
+    cold_at = np.flatnonzero(np.isnan(logs_of))
+    hot_score = np.add.reduceat(np.nan_to_num(logs_of), starts)
+    # A text's words that are not hot, each once with its frequency.
+    words_, tf, ends = [], [], np.searchsorted(cold_at, starts + sizes).tolist()
+    offsets, lo = [0], 0
+    picked = [every[i] for i in cold_at.tolist()]
+    for hi in ends:
+        found = Counter(picked[lo:hi])
+        words_ += found.keys()
+        tf += found.values()
+        offsets.append(len(words_))
+        lo = hi
+    cold = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(tf, pa.int64())], ["word", "tf"]))
+    n_hot = sizes - np.diff([0, *ends])
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes), pa.array(n_hot), pa.array(hot_score), cold], PREPARED), flat, starts
+
+
+def _with_score(prepared: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*prepared.columns, pa.array(scores)], [*PREPARED, "score"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[object, list[tuple]]]:
+    """Runs of rows with one value in a column, as they come."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns)), strict=True):
+            if rows and row[column] != now:
+                yield now, rows
+                rows = []
+            now = row[column]
+            rows.append(row)
+    if rows:
+        yield now, rows
+
+
+def scored_by_shards(source: DataFrame, model: Model, known: Broadcast, schema: str) -> DataFrame:
+    """The prepared rows with their scores, the filter being too large to broadcast."""
+    segment_bits, width = model.segment_bits, model.width
+    shard_bits = int(np.clip(math.ceil(math.log2((width << segment_bits) / SHARD_BITS)), LEAST_SHARDS, segment_bits))
+    inner = segment_bits - shard_bits
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each run of texts one row (shard -1) with its prepared rows and the places of its tokens' n-grams, and its n-grams by shard."""
+        hashes, logs, task = Hashes(), known.value, TaskContext.get()
+        packed = pa.ipc.IpcWriteOptions(compression="zstd")
+        run = 0
+        for batch in (x for b in batches for x in common.slices(b, 3, SLICE)):
+            prepared, flat, starts = _prepared(batch, hashes, logs)
+            keys, at = np.unique(np.concatenate([flat, [_END_HASH], pair_hash(before(flat, starts), flat)]), return_inverse=True)
+            sink = io.BytesIO()
+            with pa.ipc.new_stream(sink, prepared.schema, options=packed) as out:
+                out.write_batch(prepared)
+            places = pa.compress(at.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+            cuts = [*np.searchsorted(keys, np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)), len(keys)]
+            some = np.flatnonzero(np.diff(cuts)).tolist()
+            own = f"{task.partitionId()}-{task.taskAttemptId()}-{run}"
+            run += 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([own] * (1 + len(some))), pa.array([-1, *some], pa.int32()), pa.array([sink.getvalue(), *(keys[cuts[i] : cuts[i + 1]].tobytes() for i in some)], pa.binary()),
+                    pa.array([places] + [None] * len(some), pa.binary()),
+                ],
+                ["run", "shard", "data", "places"],
+            )
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard, its segments first: each run's levels."""
+        now, flags, filter_ = None, None, None
+        for batch in batches:
+            answers: list[tuple[str, int, bytes]] = []
+            for shard, run, at, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if shard != now:
+                    now, flags, filter_ = shard, bytearray((width << inner) // 8), None
+                if run is None:
+                    lo = (at - (shard << inner)) * width // 8
+                    flags[lo : lo + len(data)] = data
+                    continue
+                filter_ = filter_ or Filter(flags, width, segment_bits, shard << inner)
+                answers.append((run, shard, filter_.levels(np.frombuffer(data, np.uint64)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for a in answers], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary()))], ["run", "shard", "data"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ((_, _, prepared, places), *answers) in _groups(batches, 0):
+            rows = pa.ipc.open_stream(prepared).read_all().combine_chunks().to_batches()[0]
+            sizes = rows.column(3).to_numpy()
+            k, starts = int(sizes.sum()), np.cumsum(sizes) - sizes
+            at = np.frombuffer(pa.decompress(places, decompressed_size=4 * (2 * k + 1), codec="zstd", asbytes=True), np.int32)
+            levels = np.frombuffer(b"".join(a[2] for a in answers), np.uint8)[at]
+            own, end, pair = levels[:k], levels[k], levels[k + 1 :]
+            yield _with_score(rows, np.add.reduceat(model_.log_p(own, before(own, starts, end), pair), starts))
+
+    model_ = Model(model.n, model.v, model.mu, segment_bits, width)
+    asked = common.materialize(source.mapInArrow(ask, "run string, shard int, data binary, places binary"), "lm-probes")
+    none = F.lit(None)
+    filter_rows = model.segments.select(F.shiftright("segment", inner).alias("shard"), none.cast("string").alias("run"), F.col("segment").alias("at"), F.col("bits").alias("data"))
+    probe_rows = asked.where("shard >= 0").select("shard", "run", none.cast("int").alias("at"), "data")
+    dealt = filter_rows.unionByName(probe_rows).repartition("shard").sortWithinPartitions("shard", F.col("run").asc_nulls_first())
+    levels = dealt.mapInArrow(probe, "run string, shard int, data binary")
+    back = levels.withColumn("places", none.cast("binary")).unionByName(asked.where("shard < 0")).repartition("run").sortWithinPartitions("run", "shard")
+    return back.mapInArrow(finish, schema)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS, token_bits: int = TOKEN_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
     spark = docs.sparkSession
-    model, words = train(docs, id_col, text_col, filter_bits)
-    shared = spark.sparkContext.broadcast(model)
-    mu = tune(docs, shared, id_col, text_col)
+    model, words = train(docs, id_col, text_col, broadcast_bits, token_bits)
     hot, least = hot_words(words)
-    logs = {w: math.log10(c + 0.1) for w, c in hot.items()}
-    known = spark.sparkContext.broadcast(logs)
+    known = spark.sparkContext.broadcast({w: math.log10(c + 0.1) for w, c in hot.items()})
     held_out = common.fold_remainder(F.col(id_col), 10) == 0
     source = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, text_md5 string, n_tokens long, n_hot long, hot_score double, cold array<struct<word:binary,tf:long>>, score double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own, logs_ = Hashes(), shared.value, known.value
-        names = ["doc_id", "held_out", "text_md5", "n_tokens", "n_hot", "hot_score", "score", "cold"]
-        for batch in (x for b in batches for x in common.slices(b, 3, SLICE)):
-            lists, flat, starts = _flat(batch.column(3).to_pylist(), hashes)
-            scores = np.add.reduceat(own.log_p(flat, starts, mu), starts)
-            every = [w for x in lists for w in x]
-            sizes = np.diff([*starts, len(every)])
-            logs_of = np.fromiter(map(logs_.get, every, repeat(math.nan)), float, len(every))
-            cold_at = np.flatnonzero(np.isnan(logs_of))
-            hot_score = np.add.reduceat(np.nan_to_num(logs_of), starts)
-            # A text's words that are not hot, each once with its frequency.
-            words_, tf, ends = [], [], np.searchsorted(cold_at, starts + sizes).tolist()
-            offsets, lo = [0], 0
-            picked = [every[i] for i in cold_at.tolist()]
-            for hi in ends:
-                found = Counter(picked[lo:hi])
-                words_ += found.keys()
-                tf += found.values()
-                offsets.append(len(words_))
-                lo = hi
-            cold = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(tf, pa.int64())], ["word", "tf"]))
-            n_hot = sizes - np.diff([0, *ends])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes), pa.array(n_hot), pa.array(hot_score), pa.array(scores), cold], names)
-
-    scored = source.mapInArrow(
-        run, f"doc_id {kind}, held_out boolean, text_md5 string, n_tokens long, n_hot long, hot_score double, score double, cold array<struct<word:binary,tf:long>>"
-    )
+    if model.filter is None:
+        scored = scored_by_shards(source, model, known, schema)
+    else:
+        shared = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, own, logs = Hashes(), shared.value, known.value
+            for batch in (x for b in batches for x in common.slices(b, 3, SLICE)):
+                prepared, flat, starts = _prepared(batch, hashes, logs)
+                yield _with_score(prepared, own.scores(flat, starts))
+
+        scored = source.mapInArrow(run, schema)
     # One row per cold word; a text's own numbers ride on the first. A text without cold words gets a word that no table holds.
     rows = scored.select("doc_id", "held_out", "text_md5", "n_tokens", "n_hot", "hot_score", "score", F.posexplode_outer("cold").alias("at", "cold"))
     first = F.coalesce(F.col("at"), F.lit(0)) == 0
     numbers = [F.when(first, F.col(c)).alias(c) for c in ("n_tokens", "n_hot", "hot_score", "score")]
     none = F.concat(F.lit(" "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")
     sent = rows.select("doc_id", "held_out", "text_md5", *numbers, first.cast("long").alias("rows"), F.coalesce("cold.word", none).alias("word"), F.coalesce("cold.tf", F.lit(0)).alias("tf"))
-    cold_words = words.where((F.col("n") < least) | (F.length("word") > HOT_BYTES))
+    cold_words = words.where(F.col("n") < least)
     joined = sent.join(cold_words, "word", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
     summed = joined.groupBy("doc_id", "held_out", "text_md5").agg(
