@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,11 @@ _RUN = uuid.uuid4().hex
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset and all runs on this machine, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lodestone-{_RUN}"
@@ -70,6 +72,23 @@ def fold_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before them where a table has a column so named."""
+    taken, out = {c.lower() for c in columns}, []
+    for own in names:
+        while own.lower() in taken:
+            own = "_" + own
+        taken.add(own.lower())
+        out.append(own)
+    return out
+
+
+def content_hash(df: DataFrame, columns: list[str]) -> Column:
+    """A hash over those of the columns that can be hashed, to order rows by."""
+    types = dict(df.dtypes)
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns if not any(x in types[c] for x in ("map<", "variant"))])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -90,6 +109,18 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     return rest.join(light, key).unionByName(rows.join(F.broadcast(heavy), key))
 
 
+#: Bytes of the batches that Spark sends to a Python worker, if the session does not say.
+BATCH_BYTES = 16 << 20
+
+
+def in_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes as well as by rows; a row is never cut."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 #: Text bytes that a Python worker takes from a batch at a time.
 SLICE_BYTES = 4 << 20
 

@@ -312,14 +312,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     training = docs.where(common.fold_remainder(F.col(id_col), 10) != 0)
     text = training.select(F.col(text_col).alias("text"))
     # Executors may be lost while later steps read the words, so they are written.
-    words = common.materialize(text.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    words = common.materialize(text.transform(common.in_arrow, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     steps = by_count(words)
     n, v = sum(x[2] for x in steps), sum(x[1] for x in steps)
     segment_bits = int(np.clip(math.ceil(math.log2(max(n, 1) / SEGMENT_TOKENS)), LEAST_SEGMENT_BITS, MOST_SEGMENT_BITS))
     width = max(8, token_bits * (n + v) // (1 << segment_bits) // 8 * 8)
     # Segments are dealt to partitions; each partition's come one after another.
-    packed = text.mapInArrow(_count_grams(segment_bits), "segment int, once binary, often binary, times binary").repartition("segment").sortWithinPartitions("segment")
-    built = packed.mapInArrow(_segments(width), SEGMENT_ROW)
+    packed = text.transform(common.in_arrow, _count_grams(segment_bits), "segment int, once binary, often binary, times binary").repartition("segment").sortWithinPartitions("segment")
+    built = packed.transform(common.in_arrow, _segments(width), SEGMENT_ROW)
     if width << segment_bits <= broadcast_bits:
         rows = built.toArrow()
         flags = bytearray((width << segment_bits) // 8)
@@ -448,14 +448,14 @@ def scored_by_shards(source: DataFrame, model: Model, known: Broadcast, schema:
             yield _with_score(rows, np.add.reduceat(model_.log_p(own, before(own, starts, end), pair), starts))
 
     model_ = Model(model.n, model.v, model.mu, segment_bits, width)
-    asked = common.materialize(source.mapInArrow(ask, "run string, shard int, data binary, places binary"), "lm-probes")
+    asked = common.materialize(source.transform(common.in_arrow, ask, "run string, shard int, data binary, places binary"), "lm-probes")
     none = F.lit(None)
     filter_rows = model.segments.select(F.shiftright("segment", inner).alias("shard"), none.cast("string").alias("run"), F.col("segment").alias("at"), F.col("bits").alias("data"))
     probe_rows = asked.where("shard >= 0").select("shard", "run", none.cast("int").alias("at"), "data")
     dealt = filter_rows.unionByName(probe_rows).repartition("shard").sortWithinPartitions("shard", F.col("run").asc_nulls_first())
-    levels = dealt.mapInArrow(probe, "run string, shard int, data binary")
+    levels = dealt.transform(common.in_arrow, probe, "run string, shard int, data binary")
     back = levels.withColumn("places", none.cast("binary")).unionByName(asked.where("shard < 0")).repartition("run").sortWithinPartitions("run", "shard")
-    return back.mapInArrow(finish, schema)
+    return back.transform(common.in_arrow, finish, schema)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS, token_bits: int = TOKEN_BITS) -> DataFrame:
@@ -480,7 +480,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
                 prepared, flat, starts = _prepared(batch, hashes, logs)
                 yield _with_score(prepared, own.scores(flat, starts))
 
-        scored = source.mapInArrow(run, schema)
+        scored = source.transform(common.in_arrow, run, schema)
     # One row per cold word; a text's own numbers ride on the first. A text without cold words gets a word that no table holds.
     rows = scored.select("doc_id", "held_out", "text_md5", "n_tokens", "n_hot", "hot_score", "score", F.posexplode_outer("cold").alias("at", "cold"))
     first = F.coalesce(F.col("at"), F.lit(0)) == 0

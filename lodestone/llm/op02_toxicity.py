@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 [batch.column(0), batch.column(2), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["id", "toxic", "features", "counts"]
             )
 
-    got = joined.mapInArrow(count, "id string, toxic int, features binary, counts binary").toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
+    got = joined.transform(common.in_arrow, count, "id string, toxic int, features binary, counts binary").toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
     examples = [(np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(b, np.uint32)) for a, b in zip(got.column("features").to_pylist(), got.column("counts").to_pylist(), strict=True)]
     return fit(examples, np.array(got.column("toxic").to_pylist(), int) > 0)
 
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: st
                 ["doc_id", "score", "p_toxic", "severity", "grade", "toxic"],
             )
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double, p_toxic double, severity double, grade int, toxic boolean")
+    return source.transform(common.in_arrow, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double, p_toxic double, severity double, grade int, toxic boolean")
 
 
 def without_toxic(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame:
@@ -221,7 +221,7 @@ def without_toxic(docs: DataFrame, model: Severity, text_col: str = "text") -> D
             z = np.array([own.text(t) for t in batch.column(at).to_pylist()], float)
             yield batch.filter(pa.array(shared.value.at_least(z)[:, 0] <= shared.value.reject))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(common.in_arrow, run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

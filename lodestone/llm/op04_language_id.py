@@ -199,7 +199,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 keys, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    summed = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    summed = sample.transform(common.in_arrow, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts = {}
     langs = np.array(summed.column("lang").to_pylist(), dtype=object)
     gram, n = summed.column("gram").to_numpy().astype(np.uint64), summed.column("n").to_numpy()
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return source.mapInArrow(score, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return source.transform(common.in_arrow, score, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

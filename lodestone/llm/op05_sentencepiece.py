@@ -377,7 +377,7 @@ def tokenize(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col:
             counts = pa.array(sizes, mask=np.array([t is None for t in texts], bool))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, counts, pa.array([bool(s) for s in same])], ["doc_id", "ids", "n_ids", "round_trip"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_ids int, round_trip boolean")
+    return source.transform(common.in_arrow, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_ids int, round_trip boolean")
 
 
 def detokenize(tokens: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -391,7 +391,7 @@ def detokenize(tokens: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_co
             texts = [None if x is None else own.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
+    return source.transform(common.in_arrow, run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -150,18 +150,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns; what goes is told by id and text. ``repeats``: rows of one id and one text all stay, else one of them."""
     marked = deduplicate(docs, id_col, text_col).where("group_size > 1").groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("times"))
     odd = marked.where(~F.col("kept") if repeats else ~F.col("kept") | (F.col("times") > 1))
-    odd = common.materialize(odd.select(F.col("doc_id").alias("__odd_id"), F.unhex("text_sha256").alias("__odd_digest"), F.col("kept").alias("__odd_kept")), "dedup-odd")
-    same = F.col(id_col).eqNullSafe(F.col("__odd_id")) & (F.unhex(sha256(normal_form(F.col(text_col)))) == F.col("__odd_digest"))
+    odd_id, odd_digest, odd_kept, row = common.unused(docs.columns, "odd_id", "odd_digest", "odd_kept", "row")
+    odd = common.materialize(odd.select(F.col("doc_id").alias(odd_id), F.unhex("text_sha256").alias(odd_digest), F.col("kept").alias(odd_kept)), "dedup-odd")
+    same = F.col(id_col).eqNullSafe(F.col(odd_id)) & (F.unhex(sha256(normal_form(F.col(text_col)))) == F.col(odd_digest))
     rest = docs.join(common.maybe_broadcast(odd, 64), same, "left_anti")
-    again = odd.where("__odd_kept")
+    again = odd.where(F.col(odd_kept))
     if repeats or again.isEmpty():
         return rest
     # Partial minima: a text repeated in a third of all rows travels once per task.
     found = docs.join(common.maybe_broadcast(again, 64), same)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rank = F.struct((-F.char_length(text)).alias("points"), text.alias("text"), F.xxhash64(*docs.columns).alias("rest"))
-    one = found.groupBy("__odd_id", "__odd_digest").agg(F.min_by(F.struct(*docs.columns), rank).alias("__row"))
-    return rest.unionByName(one.select("__row.*"))
+    rank = F.struct((-F.char_length(text)).alias("points"), text.alias("text"), common.content_hash(docs, docs.columns).alias("rest"))
+    one = found.groupBy(odd_id, odd_digest).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias(row))
+    return rest.unionByName(one.select(f"{row}.*"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.string()] * 5 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["source_id", "record_id", "target_uri", "date", "source_headers", "block"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(records, RESPONSE.format(id="string"))
+    return spark.read.format("binaryFile").load(path).select("content").transform(common.in_arrow, records, RESPONSE.format(id="string"))
 
 
 def page_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = CRAWL_DATE) -> DataFrame:
@@ -167,7 +167,7 @@ def page_responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
                 ["source_id", "record_id", "target_uri", "date", "source_headers", "block"],
             )
 
-    return source.mapInArrow(wrap, RESPONSE.format(id=source.schema["source_id"].dataType.simpleString()))
+    return source.transform(common.in_arrow, wrap, RESPONSE.format(id=source.schema["source_id"].dataType.simpleString()))
 
 
 def derive(responses: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def derive(responses: DataFrame) -> DataFrame:
                     rows += [{"source_id": i, **r} for r in derive_one(rid or record_uuid("response", "", uri or ""), uri or "", date or "", heads or "", block or b"")]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return source.mapInArrow(build, schema)
+    return source.transform(common.in_arrow, build, schema)
 
 
 def save(records: DataFrame, directory: str) -> DataFrame:
@@ -212,7 +212,7 @@ def save(records: DataFrame, directory: str) -> DataFrame:
         store.move(draft, final)
         yield pa.RecordBatch.from_arrays([pa.array([final]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
-    return records.select("header", "block").mapInArrow(write, "path string, records long, bytes long")
+    return records.select("header", "block").transform(common.in_arrow, write, "path string, records long, bytes long")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """MinHash near-dedup by an LSH forest: several sorted signature orders, candidates from longest common prefixes.
 
 A text's set are its distinct word shingles. Each of :data:`TREES` orders has :data:`DEPTH` MinHash values of its own; a text's key there is
-their sequence. Texts with the same set are one class, and one of each class enters the forest. Every order is sorted as a
+their sequence. Texts with the same set are one class, and a node for each class enters the forest. Every order is sorted as a
 whole (range partitioning over key and id, so equal keys can be cut and no partition grows with a group). A region is all
 rows with a common prefix of :data:`LEAST_DEPTH` values. Texts are compared by 64 four-bit sketches and set sizes.
 
@@ -19,8 +19,10 @@ Recall: two texts of similarity s share a region in a given order with probabili
 with (1 - s ** LEAST_DEPTH) ** TREES: 3e-7 at 0.85, in regions of any size. Links are exact: intersections of full sets are counted.
 
 Cases. Null text or text without words: empty set, linked with nothing, itself kept. Fewer words than a shingle: the whole sequence is
-one. Null id: such rows are reported with a null component and linked with nothing. Repeated rows: same set, same class. Ties
-go to the smaller id. Empty table: empty result. Very long texts: whole. Only the id and text columns are read.
+one. Null id: such rows are reported with a null component and linked with nothing. Repeated rows: same set, same class. Ids of any
+type that orders; an id shared by different texts: each row links by its own text, and gets the smallest id reached from there. Ties
+go to the smaller id. Empty table: empty result. Very long texts: whole; what a worker takes at a time is bounded by bytes. Only the id and text
+columns are read. :func:`keep_first` keeps rows without a set, rows without an id, and of each component one id's rows of one set, whatever texts share the id.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 from lodestone.llm.components import connected
@@ -91,9 +94,15 @@ def shingle_sets(texts: list[str | None], words: int, hashes: Hashes) -> tuple[n
     return values, np.bincount(of, minlength=len(texts)).astype(np.int64)
 
 
+def _digests(values: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """Digests of sets that lie one after another; null for an empty set."""
+    raw, ends = values.tobytes(), np.cumsum(n)
+    return [hashlib.sha256(raw[8 * int(e - c) : 8 * int(e)]).digest()[:16] if c else None for e, c in zip(ends, n, strict=True)]
+
+
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n (set size), digest of the set, keys (all orders' values, big-endian) and sketch of every row with an id."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -108,15 +117,15 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
                     mins[full, k] = np.minimum.reduceat(values * _MULT[k] + _ADD[k], heads) >> np.uint64(32)
             low = (mins[:, :SKETCHES] & 15).astype(np.uint8)
             sketch = low[:, 0::2] << 4 | low[:, 1::2]
-            raw = values.tobytes()
-            digest = [hashlib.sha256(raw[8 * int(e - c) : 8 * int(e)]).digest()[:16] if c else None for e, c in zip(ends, n, strict=True)]
+            digest = _digests(values, n)
             keys = mins.astype(">u4")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n), pa.array(digest, pa.binary()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in sketch], pa.binary())],
                 ["doc_id", "n", "digest", "keys", "sketch"],
             )
 
-    return source.mapInArrow(run, "doc_id long, n long, digest binary, keys binary, sketch binary")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.transform(common.in_arrow, run, f"doc_id {kind}, n long, digest binary, keys binary, sketch binary")
 
 
 def _estimates(sketch: np.ndarray, i: np.ndarray, j: np.ndarray | None = None) -> np.ndarray:
@@ -265,13 +274,14 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return ordered.select("tree", "key", "doc_id", "n", "sketch", "label").mapInArrow(run, "a long, b long").distinct()
+    return ordered.select("tree", "key", "doc_id", "n", "sketch", "label").transform(common.in_arrow, run, "a long, b long").distinct()
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id and full set (64-bit hashes, sorted) of the texts with these ids, one for each id."""
-    wanted = common.maybe_broadcast(ids.select(F.col("doc_id").alias("__id")), 16)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, F.col("doc_id") == F.col("__id"), "left_semi")
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """node and full set (64-bit hashes, sorted) of each of ``nodes`` (node, rep, digest)."""
+    rows = nodes.count()
+    ids = common.maybe_broadcast(nodes.select(F.col("rep").alias("__id")).distinct(), 64, rows)
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -279,9 +289,12 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col:
             values, n = shingle_sets(batch.column(1).to_pylist(), words, hashes)
             stop = (np.cumsum(n) * 8).tolist()
             raw = values.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)], pa.binary())], ["doc_id", "members"])
+            sets = pa.array([raw[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_digests(values, n), pa.binary()), sets], ["rep", "digest", "members"])
 
-    return source.mapInArrow(run, "doc_id long, members binary")
+    found = source.transform(common.in_arrow, run, f"rep {source.schema['doc_id'].dataType.simpleString()}, digest binary, members binary")
+    # An id's other texts have other digests; its repeated rows give one set.
+    return found.join(common.maybe_broadcast(nodes, 96, rows), ["rep", "digest"]).select("node", "members").dropDuplicates(["node"]).withColumnRenamed("node", "doc_id")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -300,7 +313,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
                 good.append(100 * shared >= per_cent * (len(p) + len(q) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.transform(common.in_arrow, run, "a long, b long")
 
 
 CELL = ("region", "lo", "hi")
@@ -365,7 +378,7 @@ def remaining(rows: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield from pairs(now, held)
 
-    return cells.repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(run, "region binary, lo long, hi long, a binary, b binary, ids array<long>")
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL).transform(common.in_arrow, run, "region binary, lo long, hi long, a binary, b binary, ids array<long>")
 
 
 def confirmed_cells(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -416,7 +429,7 @@ def confirmed_cells(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
     dealt = both.select(*CELL, "doc_id", "members", "a", "b").repartition(*CELL).sortWithinPartitions(*CELL, F.col("doc_id").asc_nulls_last())
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.transform(common.in_arrow, run, "a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -427,11 +440,20 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row."""
+    return _near_duplicates(docs, words, per_cent, id_col, text_col).drop("digest", "component")
+
+
+def _near_duplicates(docs: DataFrame, words: int, per_cent: int, id_col: str, text_col: str) -> DataFrame:
     signed = common.materialize(signatures(docs, words, id_col, text_col), "forest-signatures")
-    classes = common.materialize(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "forest-classes")
+    named = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    # Nodes are numbered as they are written, and read from there ever after.
+    grouped = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
+    classes = common.materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "forest-classes")
     # A row for each class: that of its smallest id, once.
-    reps = signed.where("doc_id IS NOT NULL").join(classes.select(F.col("digest").alias("__digest"), F.col("rep").alias("__rep")), (F.col("digest") == F.col("__digest")) & (F.col("doc_id") == F.col("__rep")))
-    rows = common.materialize(reps.select("doc_id", "n", "keys", "sketch", F.col("doc_id").alias("label")).dropDuplicates(["doc_id"]), "forest-rows")
+    one = classes.select(F.col("digest").alias("__digest"), F.col("rep").alias("__rep"), "node")
+    reps = named.join(one, (F.col("digest") == F.col("__digest")) & (F.col("doc_id") == F.col("__rep")))
+    rows = common.materialize(reps.select(F.col("node").alias("doc_id"), "n", "keys", "sketch", F.col("node").alias("label")).dropDuplicates(["doc_id"]), "forest-rows")
+    sets_for = lambda nodes: common.materialize(sets_of(docs, classes.join(nodes, "node").select("node", "rep", "digest"), words, id_col, text_col), "forest-sets")
 
     links, labels, seen, every = None, None, None, rows
     for _ in range(ROUNDS):
@@ -440,9 +462,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
         if pairs.isEmpty():
             break
         if seen is None:
-            active = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "forest-active")
-            sets = common.materialize(sets_of(docs, active, words, id_col, text_col).dropDuplicates(["doc_id"]), "forest-sets")
-            rows = rows.join(active, "doc_id", "left_semi")
+            active = common.materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "forest-active")
+            sets = sets_for(active)
+            rows = rows.join(active.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
         seen = pairs if seen is None else seen.unionByName(pairs)
         new = common.materialize(confirmed(pairs, sets, per_cent), "forest-links")
         if new.isEmpty():
@@ -453,29 +475,57 @@ def near_duplicates(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col:
 
     rest = common.materialize(remaining(every if labels is None else _labelled(every, labels), per_cent / 100), "forest-rest")
     if not rest.isEmpty():
-        wanted = common.materialize(rest.select(F.explode("ids").alias("doc_id")).distinct(), "forest-wanted")
-        sets = common.materialize(sets_of(docs, wanted, words, id_col, text_col).dropDuplicates(["doc_id"]), "forest-sets")
-        new = common.materialize(confirmed_cells(rest, sets, per_cent), "forest-links")
+        wanted = common.materialize(rest.select(F.explode("ids").alias("node")).distinct(), "forest-wanted")
+        new = common.materialize(confirmed_cells(rest, sets_for(wanted), per_cent), "forest-links")
         if not new.isEmpty():
             links = new if links is None else links.unionByName(new)
             labels = connected(links)
 
+    known = classes.select("digest", "size", "node", F.col("node").alias("label"), F.col("rep").alias("component_id"))
     if labels is not None:
-        known = labels.select(F.col("node").alias("rep"), F.col("label"))
-        classes = common.materialize(classes.join(known, "rep", "left").select("digest", "size", F.coalesce("label", "rep").alias("component_id")), "forest-classes")
-    else:
-        classes = classes.select("digest", "size", F.col("rep").alias("component_id"))
+        # Nodes' numbers say nothing: a component is named by its smallest id.
+        joined = common.materialize(known.drop("label").join(labels, "node"), "forest-joined")
+        firsts = common.materialize(joined.groupBy("label").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("nodes")), "forest-firsts")
+        named_ = common.join_groups(joined.drop("component_id"), firsts, "label", "nodes").select(*known.columns)
+        known = common.materialize(named_.unionByName(known.join(labels, "node", "left_anti")), "forest-named")
     own = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest")
-    with_set = common.join_groups(own.where("digest IS NOT NULL AND doc_id IS NOT NULL"), classes, "digest", "size")
-    rest = own.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = with_set.select("doc_id", "n_shingles", "component_id").unionByName(rest)
+    with_set = common.join_groups(own.where("digest IS NOT NULL AND doc_id IS NOT NULL"), known.select("digest", "size", F.col("label").alias("component"), "component_id"), "digest", "size")
+    rest = own.where("digest IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", "digest", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    out = with_set.select("doc_id", "n_shingles", "digest", "component", "component_id").unionByName(rest)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_first(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the smallest id."""
-    lost = common.materialize(near_duplicates(docs, words, per_cent, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__lost_id")), "forest-lost")
-    return docs.join(common.maybe_broadcast(lost, 16), F.col(id_col).eqNullSafe(F.col("__lost_id")), "left_anti")
+def keep_first(docs: DataFrame, words: int = 5, per_cent: int = 80, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the smallest id; and all rows that have no set or no id. ``repeats``: rows of one id and one set all stay, else one of them."""
+    marked = _near_duplicates(docs, words, per_cent, id_col, text_col).where("digest IS NOT NULL AND doc_id IS NOT NULL")
+    rows = common.materialize(marked.groupBy("doc_id", "component", "kept").agg(F.count(F.lit(1)).alias("times"), F.min("digest").alias("digest")), "forest-marked")
+    shared = common.materialize(rows.groupBy("doc_id").agg(F.sum("times").alias("times")).where("times > 1").select("doc_id"), "forest-shared")
+    # Ids of one row go by id. What shared ids bear is told apart by sets: of a component's rows with its id those of the least digest stay.
+    lost = rows.where("NOT kept").join(shared, "doc_id", "left_anti").unionByName(shared, allowMissingColumns=True)
+    lost_id, digest, keep_id, keep_digest = common.unused(docs.columns, "lost_id", "digest", "keep_id", "keep_digest")
+    lost = common.materialize(lost.select(F.col("doc_id").alias(lost_id)), "forest-lost")
+    rest = docs.join(common.maybe_broadcast(lost, 64), F.col(id_col) == F.col(lost_id), "left_anti")
+    if shared.isEmpty():
+        return rest
+    again = docs.join(common.maybe_broadcast(shared.select(F.col("doc_id").alias(keep_id)), 64), F.col(id_col) == F.col(keep_id), "left_semi")
+    at, names = docs.columns.index(text_col), [*docs.columns, digest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in (x for b in batches for x in common.slices(b, at)):
+            own = pa.array(_digests(*shingle_sets(batch.column(at).to_pylist(), words, hashes)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], names)
+
+    digested = again.transform(common.in_arrow, run, T.StructType([*again.schema.fields, T.StructField(digest, T.BinaryType())]))
+    stay = rows.where("kept").join(shared, "doc_id", "left_semi").select(F.col("doc_id").alias(keep_id), F.col("digest").alias(keep_digest))
+    found = digested.join(stay, (F.col(id_col) == F.col(keep_id)) & (F.col(digest) == F.col(keep_digest)))
+    columns, row = [F.col(f"`{c}`") for c in docs.columns], common.unused(names, "row")[0]
+    rest = rest.unionByName(digested.where(F.col(digest).isNull()).select(*columns))
+    if repeats:
+        return rest.unionByName(found.select(*columns))
+    # Partial minima: a row repeated in a third of the table travels once per task.
+    first = found.groupBy(keep_id, keep_digest).agg(F.min_by(F.struct(*columns), F.struct(F.col(text_col), common.content_hash(docs, docs.columns))).alias(row)).select(f"{row}.*")
+    return rest.unionByName(first)
 
 
 def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

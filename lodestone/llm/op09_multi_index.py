@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
             own, x = units(batch, 0, 1, dim)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "unit"])
 
-    picked = source.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < share).mapInArrow(clean, "vec_id long, unit binary").toArrow().sort_by("vec_id")
+    picked = source.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < share).transform(common.in_arrow, clean, "vec_id long, unit binary").toArrow().sort_by("vec_id")
     sample = np.frombuffer(b"".join(picked.column("unit").to_pylist()), np.float64).reshape(-1, dim) if picked.num_rows else np.zeros((0, dim))
     # In the order of ids, but not of a kind: rows of neighbouring ids may be alike.
     sample = sample[np.random.RandomState(11).permutation(len(sample))]
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 at = np.flatnonzero(ball >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ball[at].astype(np.int64)), pa.array(angles[at, ball[at]]), pa.array(ids[at])], ["ball", "angle", "vec_id"])
 
-        stats = source.mapInArrow(by_ball, "ball long, angle double, vec_id long").groupBy("ball").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.min("vec_id").alias("first"))
+        stats = source.transform(common.in_arrow, by_ball, "ball long, angle double, vec_id long").groupBy("ball").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("angle"), F.min("vec_id").alias("first"))
         index.ball_size, index.ball_angle, index.ball_first = (np.zeros(len(index.leaders), t) for t in (np.int64, float, np.int64))
         for r in stats.collect():
             index.ball_size[r["ball"]], index.ball_angle[r["ball"]], index.ball_first[r["ball"]] = r["n"], r["angle"], r["first"]
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
             at = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bin", "n"])
 
-        bins = sorted((r["bin"], r["n"]) for r in source.mapInArrow(probed, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())
+        bins = sorted((r["bin"], r["n"]) for r in source.transform(common.in_arrow, probed, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect())
         total, run = sum(n for _, n in bins), 0
         for b, n in bins:
             run += n
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
         at = np.flatnonzero(homes + queries + every_)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(homes[at]), pa.array(queries[at]), pa.array(every_[at])], ["cell", "homes", "queries", "every"])
 
-    tally = source.mapInArrow(counted, "cell long, homes long, queries long, every long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("homes", "queries", "every")])
+    tally = source.transform(common.in_arrow, counted, "cell long, homes long, queries long, every long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("homes", "queries", "every")])
     index.homes, index.queries, every_all = (np.zeros(len(index.homes), np.int64) for _ in range(3))
     # At most CODEWORDS ** 2 + BALLS rows.
     for r in tally.collect():
@@ -369,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
         role, ids, home = (table.column(c).to_numpy() for c in ("role", "vec_id", "home"))
         return pa.Table.from_batches([verify(own, table.column("cell")[0].as_py(), role, ids, home, x)])
 
-    found = source.mapInArrow(dealt, group).groupBy("cell", "h", "q").applyInArrow(checked, OUT)
+    found = source.transform(common.in_arrow, dealt, group).groupBy("cell", "h", "q").applyInArrow(checked, OUT)
 
     # 5. Every row: what its ball and the balls that it links with as a whole give.
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
             at = np.flatnonzero(n)
             yield _out(ids[at], n[at])
 
-    facts = common.materialize(found.unionByName(source.mapInArrow(base, OUT)), "multi-index-facts")
+    facts = common.materialize(found.unionByName(source.transform(common.in_arrow, base, OUT)), "multi-index-facts")
     labels = connected(facts.where("next IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("next").alias("b")))
     summed = facts.groupBy("vec_id").agg(F.sum("n").alias("n_links"), F.sum("rows").alias("rows"))
     out = summed.join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")

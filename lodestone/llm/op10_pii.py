@@ -325,7 +325,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["key", "window"])
 
     model = SemiMarkov()
-    texts = sorted({(r["key"], r["window"]) for r in sample.mapInArrow(windows, "key string, window string").toLocalIterator()})
+    texts = sorted({(r["key"], r["window"]) for r in sample.transform(common.in_arrow, windows, "key string, window string").toLocalIterator()})
     model.fit([x for _, text in texts for x in examples_of(text)])
     return model
 
@@ -358,7 +358,7 @@ def detect(docs: DataFrame, model: SemiMarkov, id_col: str = "doc_id", text_col:
     kind = source.schema["doc_id"].dataType.simpleString()
     schema = RESULT.replace("doc_id long", f"doc_id {kind}")
     names = [x.split()[0] for x in schema.split(", ")]
-    return source.mapInArrow(scan, schema)
+    return source.transform(common.in_arrow, scan, schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,49 @@ def test_filter(docs):
     assert kept.schema == docs.schema and kept.count() == want
 
 
+def test_ids_shared_by_different_texts(spark):
+    """Each row links by its own text; of each component one row stays."""
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 100, 100_000).split() for _ in range(3))
+    near = lambda w: " ".join(edited(rng, w, [50]))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (4, " ".join(c)), (5, ""), (5, None), (None, " ".join(a)), (None, "alone"), (6, near(c)), (6, "only six")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in op.near_duplicates(docs, 3, 85).collect())
+    assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 5), (5, 5), (6, 4), (6, 6)]
+    kept = sorted(((r.doc_id or 0, r.text) for r in op.keep_first(docs, 3, 85, repeats=False).collect()), key=str)
+    assert op.keep_first(docs, 3, 85).count() == len(kept) + 1
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, " ".join(c)), (5, ""), (5, None), (0, " ".join(a)), (0, "alone"), (6, "only six")], key=str)
+
+
+def test_text_ids_and_clashing_columns(spark):
+    rng = random.Random(8)
+    a = prose(rng, 100, 100_000).split()
+    rows = [(f"d{i}", " ".join(edited(rng, a, [9 * i])), {"k": i}) for i in range(4)] + [("d3", "other words here", {"k": 9})] * 2 + [("z", "alone", None)]
+    docs = spark.createDataFrame(rows, "lost_id string, digest string, keep_id map<string,int>").withColumnsRenamed({"lost_id": "id", "digest": "t"})
+    docs = docs.selectExpr("id", "t", "keep_id", "1 AS lost_id", "2 AS digest", "3 AS keep_digest", "4 AS row", "5 AS node", "6 AS component")
+    got = {(r.doc_id, r.component_id) for r in op.near_duplicates(docs, 3, 85, "id", "t").collect()}
+    assert got == {("d0", "d0"), ("d1", "d0"), ("d2", "d0"), ("d3", "d0"), ("d3", "d3"), ("z", "z")}
+    kept = op.keep_first(docs, 3, 85, "id", "t", repeats=False)
+    assert kept.columns == docs.columns and sorted((r.id, r.keep_id["k"] if r.keep_id else None, r.row) for r in kept.collect()) == [("d0", 0, 4), ("d3", 9, 4), ("z", None, 4)]
+
+
+def test_groups_of_edited_copies(spark):
+    """Ten groups of 500 near copies of a text with 2 to 8 edits each, many of them about the threshold."""
+    want, rows = {}, []
+    for seed in range(1, 11):
+        rng = random.Random(seed)
+        base, own = prose(rng, 200, 5000).split(), []
+        for i in range(500):
+            w = list(base)
+            for _ in range(rng.randint(2, 8)):
+                w[rng.randrange(len(w))] = f"edit{rng.randrange(10_000)}"
+            own.append((1000 * seed + i, " ".join(w)))
+        want.update({d: c for d, (_, c) in by_hand(own, 3, 85).items()})
+        rows += own
+    got = {r.doc_id: r.component_id for r in op.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    assert got == want
+
+
 def test_sets_do_not_depend_on_the_batch():
     texts = ["a b c d", "", None, "x", "A b C d e f", "a b", "b a"]
     together, n = op.shingle_sets(texts, 3, op.Hashes())
