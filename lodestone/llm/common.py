@@ -72,6 +72,15 @@ def fold_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def hash_sample(df: DataFrame, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """About ``rows`` rows chosen by hash of id and text. Rows that share both fall together and are taken once, so no repeated row or null id exceeds ``rows``."""
+    total = df.count()
+    if not total:
+        return df
+    at = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)), F.lit(1 << 40))
+    return df.where(at < F.lit(min(1 << 40, (rows << 40) // total))).dropDuplicates([id_col, text_col])
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, with underscores before them where a table has a column so named."""
     taken, out = {c.lower() for c in columns}, []

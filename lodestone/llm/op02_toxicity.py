@@ -9,8 +9,8 @@ of w.x is then one number, and a text's score a sum over its distinct words. Lab
 its words are marked, that is, carry a feature far more frequent in toxic than in other training texts: the thirds of
 that count among toxic texts are grades 1, 2 and 3.
 
-Training uses a bounded sample: about :data:`SAMPLE_ROWS` labelled rows by hash of id, with texts of at most :data:`SAMPLE_CHARS`
-characters, gathered as hashed counts. Weights are fitted by proximal gradient steps with an L1 penalty and are not negative, so that
+Training uses a bounded sample: about :data:`SAMPLE_ROWS` labelled rows by hash of id, fewer if their texts have more than :data:`SAMPLE_TOTAL`
+characters in all, with texts of at most :data:`SAMPLE_CHARS` characters, gathered as hashed counts. Weights are fitted by proximal gradient steps with an L1 penalty and are not negative, so that
 words without a bearing get none, long clean texts gather no score and clean words cannot outweigh toxic ones.
 
 Cases. Null or empty text: no features, the score of an empty text. Null label: not learned from. Null id: matches no label.
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import common
 
-SAMPLE_ROWS = 12_000
-SAMPLE_CHARS = 50_000
+#: Bounds of the sample of labelled rows that the weights are fitted on: rows, characters of a text and of all texts.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_TOTAL = 12_000, 50_000, 64_000_000
 GRADES = 3
 #: Features in fewer training texts than this, or than a seventh of the root of their number, are left out: what a few copies share says nothing.
 LEAST_TEXTS = 4
@@ -160,21 +160,31 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     return float((p[order][at] + (p[order][at + 1] if at + 1 < len(p) else 0.0)) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Severity:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, total_chars: int = SAMPLE_TOTAL
+) -> Severity:
     """Fits on about ``rows`` labelled rows; the same rows give the same model."""
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic")
     total = marks.count()
     if not total:
         return Severity({}, [])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def chosen(limit: int) -> DataFrame:
+        own = marks.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) < limit)
+        own = own.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumnRenamed("doc_id", "__label_id")
+        # At most about SAMPLE_ROWS rows of 12 bytes: a fixed bound.
+        joined = texts.join(F.broadcast(own), F.col("id") == F.col("__label_id")).where(F.coalesce(F.char_length("text"), F.lit(0)) <= chars)
+        return joined.select(F.col("id").cast("string"), "text", F.col("__toxic").cast("int")).dropDuplicates()
+
     limit = min(1 << 40, (rows << 40) // total)
-    chosen = marks.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) < limit)
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("__toxic")).withColumnRenamed("doc_id", "__label_id")
-    # At most about SAMPLE_ROWS rows of 12 bytes: a fixed bound.
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("__label_id"))
-    joined = joined.where(F.coalesce(F.char_length("text"), F.lit(0)) <= SAMPLE_CHARS).select(F.col("id").cast("string"), "text", F.col("__toxic").cast("int"))
+    found = chosen(limit).agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
+    if found > total_chars:
+        limit = limit * total_chars // found
+    joined = chosen(limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in common.slices(b, 1)):
             out = []
             for text in batch.column(1).to_pylist():
                 found: Counter = Counter()

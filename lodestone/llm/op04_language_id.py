@@ -7,8 +7,9 @@ The trees are frozen after training, so a symbol's exact code length is a functi
 tabulated for every byte string of that length seen in training and computed, by the same function, for the rest. A text's
 language is the one with the shortest total code, its score the posterior of that language under equal priors.
 
-Training uses a bounded sample of labelled rows: per language about :data:`SAMPLE_ROWS` rows by hash of id, whose texts have at
-most :data:`SAMPLE_CHARS` characters. That bounds what is gathered and broadcast whatever the corpus. Texts are scored whole.
+Training uses a bounded sample of labelled rows: per language about :data:`SAMPLE_ROWS` rows by hash of id and text, and of a text at
+most :data:`SAMPLE_CHARS` characters, from a place chosen by hash. That bounds what is gathered and broadcast whatever the corpus; it grows only with
+the number of languages. Texts are scored whole.
 
 Cases. Null text, or one without any letter: ``und``, score 0. Null language: not learned from. Null id: hashed as empty
 text for the fold. Repeated rows: one result each. Very long texts: whole, in slices of fixed size. Ties: the smaller
@@ -177,18 +178,19 @@ class Model:
         return [(self.langs[b], float(s)) if t and _LETTER.search(t) else ("und", 0.0) for t, b, s in zip(texts, best, share, strict=True)]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, order: int = ORDER) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, order: int = ORDER, chars: int = SAMPLE_CHARS) -> Model:
     """Trees from about ``rows`` rows per language of those outside the fold crc32 mod 4 = 2."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     own = own.where((common.fold_remainder(F.col("id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    if not sizes:
+    sizes = common.materialize(own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "ppm-languages")
+    if sizes.isEmpty():
         return Model({}, order)
-    limit = F.lit(0).cast("long")
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1 << 40, ((1 << 40) * rows) // n))).otherwise(limit)
-    sample = own.where(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 40)) < limit)
-    sample = sample.where(F.char_length("text") <= SAMPLE_CHARS).select("lang", "text")
+    at = F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("text")), F.lit(1 << 40))
+    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("n")) * F.lit(float(1 << 40))
+    sample = own.join(common.maybe_broadcast(sizes, 256), "lang").where(at < share).dropDuplicates(["id", "text"])
+    # One place in a longer text, by another hash.
+    room = F.greatest(F.char_length("text") - chars, F.lit(0)) + 1
+    sample = sample.select("lang", F.substr(F.col("text"), (F.pmod(F.xxhash64(F.lit("place"), "text"), room) + 1).cast("int"), F.lit(chars)).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in common.slices(b, 1)):

@@ -10,8 +10,9 @@ programming over candidates sorted by end: bounded entity length keeps each step
 text without candidates are skipped as one O step of score 0.
 
 Weights are fitted by stochastic gradient ascent on the conditional likelihood (forward-backward over candidates) on a bounded
-sample of texts (:data:`SAMPLE_ROWS` rows by hash of id, each of at most :data:`SAMPLE_CHARS` characters). There are no gold spans, so
-the sample is labelled by distant supervision: base spans that pass their checks are the targets, and each such span is
+sample: about :data:`SAMPLE_ROWS` texts by hash of id and text, and of each at most :data:`SAMPLE_WINDOWS` windows around candidates, chosen by hash
+from the whole text, cut to :data:`SAMPLE_CHARS` characters; of a window at most :data:`SAMPLE_NEGATIVES` candidates are shown as negatives.
+There are no gold spans, so the sample is labelled by distant supervision: base spans that pass their checks are the targets, and each such span is
 also shown in an altered form made by fixed rewriting rules (``@`` to `` at ``, other separators, ``00`` for ``+``), whose target is
 the rewritten span. Digit runs that fail every check are negatives.
 
@@ -27,7 +28,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from heapq import nsmallest
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +41,16 @@ from pyspark.sql import functions as F
 from lodestone.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 50_000
+#: Bounds of the sample that the weights are fitted on; texts are found and decoded whole.
+SAMPLE_ROWS, SAMPLE_WINDOWS, SAMPLE_CHARS, SAMPLE_NEGATIVES = 4000, 4, 600, 20
 #: Entities are at most so long; longer candidates are not proposed (base spans have no bound).
 MAX_SPAN = 96
 #: Passes over the sample, step size and weight decay of the fit.
 EPOCHS, RATE, L2 = 6, 0.3, 1e-4
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The contract's ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``: a match can only start where a run of digits does, and giving digits back never helps.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -108,7 +113,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             if all(_at_most_255(p) for p in m.group().split(".")):
                 out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
-        if 13 <= m.end() - m.start() and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d):
+        # Digits are at least half of a match.
+        if 13 <= m.end() - m.start() <= 38 and 13 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             out.append(("card", *m.span()))
     if "+" in text:
         for m in _PHONE.finditer(text):
@@ -271,7 +277,7 @@ def examples_of(text: str) -> list[tuple[list[list[str]], list[tuple[str, int, i
             window = text[lo:a] + new + text[b:hi]
             add(window, {(k, a - lo, a - lo + len(new))})
     covered = [(a, b) for _, a, b in base]
-    for k, a, b in candidates(text)[:20]:
+    for k, a, b in candidates(text)[:SAMPLE_NEGATIVES]:
         if not any(x < b + 60 and y > a - 60 for x, y in covered):
             lo, hi = max(0, a - 60), min(len(text), b + 60)
             add(text[lo:hi], set())
@@ -285,33 +291,26 @@ def find(text: str, model: SemiMarkov) -> tuple[list[tuple[str, int, int]], list
     if base and segments:
         mask = sorted((a, b) for _, a, b in base)
         starts = [a for a, _ in mask]
-        longest = max(b - a for a, b in mask)
+        # The furthest end of the base spans up to each.
+        furthest = list(accumulate((b for _, b in mask), max))
         keep = []
         for k, a, b in segments:
-            at = int(np.searchsorted(starts, b, side="left"))
-            clash = False
-            while at and mask[at - 1][0] >= a - longest:
-                at -= 1
-                if mask[at][1] > a:
-                    clash = True
-                    break
-            if not clash:
+            at = bisect_left(starts, b)
+            if not at or furthest[at - 1] <= a:
                 keep.append((k, a, b))
         segments = keep
     extra = model.decode(text, segments)
     return base, sorted(base + extra, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> SemiMarkov:
-    """Fits the weights on a sample of at most about ``rows`` texts chosen by hash; the same rows give the same weights."""
-    total = docs.count()
-    share = min(1.0, rows / total) if total else 0.0
-    chosen = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) if share < 1 else 1 << 40))
-    # Only windows around candidates come to the driver, at most four a text.
-    sample = chosen.where(F.char_length(F.col(text_col)) <= SAMPLE_CHARS).select(F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, windows: int = SAMPLE_WINDOWS, chars: int = SAMPLE_CHARS) -> SemiMarkov:
+    """Fits the weights on a sample of about ``rows`` texts chosen by hash; the same rows give the same weights."""
+    own = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("key"), F.col(text_col).alias("text"))
+    # Only windows around candidates come to the driver.
+    sample = common.hash_sample(own, rows, "key", "text")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in common.slices(b, 1)):
             found: list[tuple[str, str]] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 spans = [(a, b) for _, a, b in base_spans(text)] + [(a, b) for _, a, b in candidates(text)]
@@ -321,11 +320,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
-                found += [(key or "", text[a : min(b, a + 600)]) for a, b in merged[:4]]
+                cut = [text[a : min(b, a + chars)] for a, b in merged]
+                found += [(key, x) for x in nsmallest(windows, cut, key=lambda x: hashlib.md5(x.encode("utf-8", "replace")).digest())]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], ["key", "window"])
 
     model = SemiMarkov()
-    texts = sorted({(r["key"], r["window"]) for r in sample.transform(common.in_arrow, windows, "key string, window string").toLocalIterator()})
+    texts = sorted({(r["key"], r["window"]) for r in sample.transform(common.in_arrow, find_windows, "key string, window string").toLocalIterator()})
     model.fit([x for _, text in texts for x in examples_of(text)])
     return model
 

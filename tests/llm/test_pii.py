@@ -1,4 +1,6 @@
 import hashlib
+import re
+import time
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from lodestone.llm import op10_pii as op
 
 def base_by_hand(text):
     out = [("email", *m.span()) for m in op._EMAIL.finditer(text)]
-    out += [("ip", *m.span()) for m in op._IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m.group().split("."))]
     for m in op._CARD.finditer(text):
         d = [int(c) for c in m.group() if c in "0123456789"]
         total = sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])
@@ -31,6 +33,24 @@ def test_base_spans(text):
     assert op.base_spans(text) == base_by_hand(text)
 
 
+@pytest.mark.parametrize("unit", ["1", "1.", "1 ", "12-", "@", "a@", "+1 ", "(1", "1.1.1.1 ", "123 456 7890 ", "4111111111111111,"])
+def test_long_texts_take_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    base, spans = op.find(text, op.SemiMarkov({"phone:bias": 0.1}))
+    assert time.process_time() - start < 10 and set(base) <= set(spans)
+    start = time.process_time()
+    op.base_spans(text)
+    assert time.process_time() - start < 2
+
+
+def test_a_sample_holds_whatever_is_repeated(spark):
+    """Null ids and repeated rows neither flood the sample nor empty it."""
+    rows = [(None, f"text {i} mail a{i}@b.com") for i in range(2000)] + [(1, "same +1 (988) 555-2485")] * 2000
+    got = op.common.hash_sample(spark.createDataFrame(rows, "doc_id bigint, text string"), 400, "doc_id", "text").count()
+    assert 100 < got < 320
+
+
 def test_marginals_and_decoding_match_enumeration():
     text = "a 1234 5678 9012 3456 b 12 34 56 78 90 c 555 666 7777"
     segments = op.candidates(text)[:10]
