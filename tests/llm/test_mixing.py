@@ -2,6 +2,8 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
+
 from lodestone.llm import op03_mixing as op
 
 
@@ -49,6 +51,44 @@ def test_salted_join_gives_the_same(docs, monkeypatch):
     assert Counter((r.doc_id, r["copy"]) for r in op.mix(docs).collect()) == want
 
 
+INTERNAL = ("__source", "__rate", "__cdf", "__salt", "__at", "__u", "__n", "__k", "__log", "__sum", "__size", "__weight", "__name", "copy", "shuffle_key", "low", "high")
+
+
+def test_columns_named_like_internal_ones_survive(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    clashing = plain.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in INTERNAL])
+    want = Counter(r.doc_id for r in op.mix(plain).collect())
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(op.common, "BROADCAST_BYTES", limit)
+        rows = op.mixed_documents(clashing).collect()
+        assert Counter(r.doc_id for r in rows) == want
+        assert all(r[c] == (None if r.doc_id is None else f"{c}-{r.doc_id}") for r in rows for c in INTERNAL)
+        rows = op.mix(clashing).collect()
+        assert Counter(r.doc_id for r in rows) == want and all(r["__u"] == f"__u-{r.doc_id}" for r in rows if r.doc_id is not None)
+
+
+def test_distribution_function_and_bisection(spark):
+    from pyspark.sql import functions as F
+
+    rates = [(None, 0.0), ("a", 1e-9), ("b", 0.3), ("c", 7.5), ("d", 1000.0), ("e", 100_000.0)]
+    for source, rate, cdf in op.poisson_cdf(spark.createDataFrame(rates, "s string, r double"), "s", "r", "c").collect():
+        assert (rate == 0) == (not cdf) and (not cdf or abs(cdf[-1] - 1) < 1e-8)
+        for k in {0, 1, int(rate), int(rate + 3 * rate**0.5)} if cdf else ():
+            log_p = -rate + k * math.log(rate) - math.lgamma(k + 1)
+            assert cdf[k] - (cdf[k - 1] if k else 0) == pytest.approx(math.exp(log_p), rel=1e-6, abs=1e-14)
+    rows = [([], 0.5), ([0.1], 0.05), ([0.1], 0.1), ([0.1], 0.2), ([0.1, 0.2, 0.2, 0.9], 0.2), ([0.1 * i for i in range(1, 10)], 0.55), ([0.5] * 100, 0.5), ([0.5] * 100, 0.4)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c array<double>, u double").select(op.count_up_to(F.col("c"), F.col("u"))).collect()]
+    assert got == [sum(x <= u for x in c) for c, u in rows]
+
+
+def test_senseless_rates_are_refused(spark):
+    df = spark.createDataFrame([(1, "x", "a"), (2, "y", "b")], "doc_id bigint, text string, source string")
+    with pytest.raises(ValueError, match="repeated"):
+        op.mix(df, weights={"a": 1.0}, budget=1e9)
+
+
 def test_sources_meet_their_weights(spark):
     rows = [(i, "x" * 10, "en", "a" if i < 3000 else "b", 10) for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
