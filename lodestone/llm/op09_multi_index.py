@@ -12,10 +12,12 @@ counted, not paired. Against another ball or vector, the angle to the leader and
 only where they don't are members compared, with the ball as a cell of its own. Cells and their visitors are cut into
 chunks of :data:`CHUNK` by hash, and each (chunk, chunk) is a group of bounded size.
 
-Codebooks, leaders and probes come from bounded samples; every vector is indexed and every vector queries.
+Codewords number as the root of the rows over :data:`CELL`, up to :data:`CODEWORDS`, and their sample grows with them, up to :data:`SAMPLE_VALUES`.
+Of the cells, workers get one bit each, whether it holds a vector, and the counts of those alone that need more than one chunk (:data:`BIG_CELLS` at most;
+with more of them chunks are larger). Codebooks, leaders and probes come from bounded samples; every vector is indexed and every vector queries.
 
 Cases. Null, zero and non-finite vectors, vectors with a null component, and those of another length than most have: no links. Null id: no links, null
-component. Repeated rows of an id: never linked with each other; their links are added up, and each row shows the sum.
+component. Ids that are no whole numbers: an error before anything runs. Repeated rows of an id: never linked with each other; their links are added up, and each row shows the sum.
 Ties of cosine with the threshold count as links. Empty table: empty result. Other columns (labels) are not read.
 """
 
@@ -27,14 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.llm import common
 from lodestone.llm.components import connected
 
 COSINE = 0.95
-SAMPLE_ROWS, SAMPLE_VALUES = 16_384, 4 << 20
-#: Mean vectors a cell, codewords of a half at most, vectors of a chunk.
-CELL, CODEWORDS, CHUNK = 128, 256, 2048
+#: Sampled rows at least and by codeword, and sampled numbers at most (128 MB).
+SAMPLE_ROWS, CODEWORD_ROWS, SAMPLE_VALUES = 16_384, 32, 16 << 20
+#: Mean vectors a cell, codewords of a half at most, vectors of a chunk, and cells of several chunks at most.
+CELL, CODEWORDS, CHUNK, BIG_CELLS = 128, 2048, 2048, 1 << 20
+#: Distances to codewords held at a time, and cells counted before counts are sent.
+DISTANCES, COUNTED = 2 << 20, 1 << 20
 BALLS, BALL_SAMPLE, BALL_SHARE = 256, 4096, 0.002
 PROBES, TARGET = 512, 0.999
 #: Angles are compared with this margin, far above what arccos loses and far below any that matters.
@@ -63,8 +69,10 @@ def units(batch: pa.RecordBatch, ids: int, vectors: int, dim: int) -> tuple[np.n
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Codewords of the rows; the same rows in the same order give the same."""
     centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
+    step = max(1, DISTANCES // max(len(centres), 1))
     for _ in range(rounds):
-        near = (x @ centres.T - (centres * centres).sum(axis=1) / 2).argmax(axis=1)
+        square = (centres * centres).sum(axis=1) / 2
+        near = np.concatenate([(x[lo : lo + step] @ centres.T - square).argmax(axis=1) for lo in range(0, len(x), step)])
         n = np.bincount(near, minlength=len(centres))
         for d in range(x.shape[1]):
             centres[:, d] = np.where(n > 0, np.bincount(near, x[:, d], len(centres)) / np.maximum(n, 1), centres[:, d])
@@ -76,7 +84,7 @@ class Half:
         self.centres = centres
         self.square = (centres * centres).sum(axis=1)
         gap = np.sqrt(np.maximum(self.square[:, None] + self.square[None, :] - 2 * centres @ centres.T, 0))
-        self.gap = np.where(gap > 1e-12, 2 * gap, np.inf)
+        self.gap = np.where(gap > 1e-12, 2 * gap, np.inf).astype(np.float32)
 
     def bounds(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest codeword, and for each codeword the squared least displacement into its region."""
@@ -87,13 +95,40 @@ class Half:
         return near, bound * bound
 
 
+def codewords(rows: int) -> int:
+    """Codewords of a half for so many vectors."""
+    return int(np.clip(np.ceil(np.sqrt(rows / CELL)), 1, CODEWORDS))
+
+
+class Pieces:
+    """Into how many chunks a cell's vectors, or its queries, are cut: none for an empty cell, one for most."""
+
+    def __init__(self, cells: int, bits: dict[int, bytes], big: np.ndarray, times: np.ndarray) -> None:
+        flags = bytearray(-(-cells // BUCKET_BITS) * (BUCKET_BITS // 8))
+        for bucket, own in bits.items():
+            flags[bucket * (BUCKET_BITS // 8) : (bucket + 1) * (BUCKET_BITS // 8)] = own
+        self.flags, (self.big, self.times) = bytes(flags), (big, times)
+
+    def __getitem__(self, cell: np.ndarray) -> np.ndarray:
+        cell = np.asarray(cell, np.int64)
+        out = ((np.frombuffer(self.flags, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(np.int64)
+        if len(self.big):
+            at = np.minimum(np.searchsorted(self.big, cell), len(self.big) - 1)
+            out = np.where(self.big[at] == cell, self.times[at], out)
+        return out
+
+
+#: Bits of a bitmap of Spark's ``bitmap_construct_agg``.
+BUCKET_BITS = 32_768
+
+
 class Index:
     """Codebooks, radius and balls: what is broadcast."""
 
     def __init__(self, sample: np.ndarray, rows: int, cosine: float = COSINE) -> None:
         self.cosine, self.dim = cosine, sample.shape[1]
         self.cut = self.dim // 2
-        k = int(np.clip(np.ceil(np.sqrt(rows / CELL)), 1, CODEWORDS))
+        k = min(codewords(rows), max(1, len(sample) // 4))
         self.halves = [Half(k_means(sample[:, : self.cut], k)), Half(k_means(sample[:, self.cut :], k))]
         self.sizes = [len(h.centres) for h in self.halves]
         self.cells = self.sizes[0] * self.sizes[1]
@@ -101,7 +136,7 @@ class Index:
         self.leaders = self._leaders(sample[:BALL_SAMPLE])
         self.radius = self._displaced(sample)
         self.ball_size = self.ball_angle = self.ball_first = self.ball_all = np.zeros(0)
-        self.homes = self.queries = np.zeros(self.cells + len(self.leaders), np.int64)
+        self.homes = self.queries = None
 
     def _leaders(self, x: np.ndarray) -> np.ndarray:
         near = x @ x.T >= np.cos(self.angle / 2 - MARGIN)
@@ -236,10 +271,12 @@ def verify(index: Index, cell: int, role: np.ndarray, ids: np.ndarray, home: np.
 def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
     source = docs.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     lengths = source.where("vector IS NOT NULL").groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     rows, dim = (lengths[0]["n"], lengths[0]["dim"]) if lengths else (0, 0)
-    limit = min(SAMPLE_ROWS, SAMPLE_VALUES // max(dim, 1))
+    limit = min(max(SAMPLE_ROWS, CODEWORD_ROWS * codewords(rows)), SAMPLE_VALUES // max(dim, 1))
     share = min(1 << 40, (limit << 40) // max(rows, 1))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
     index = Index(sample, rows, cosine)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-        """Batch, places and ids of the vectors that can link, and their unit vectors."""
-        for batch in batches:
+        """Batch, places and ids of the vectors that can link, and their unit vectors; so many rows that their distances to codewords fit."""
+        step = max(64, DISTANCES // (2 * max(index.sizes)))
+        for batch in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
             own, x = units(batch, 0, 1, dim)
             yield batch, own, batch.column(0).take(pa.array(own)).to_numpy(zero_copy_only=False), x
 
@@ -304,32 +342,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared_3.value
-        n = len(own.homes)
-        homes, queries, every_ = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        held: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            parts = [np.unique(np.concatenate(x) if x else np.zeros(0, np.int64), return_counts=True) for x in held]
+            cells = np.unique(np.concatenate([c for c, _ in parts]))
+            sums = np.zeros((3, len(cells)), np.int64)
+            for k, (c, n) in enumerate(parts):
+                sums[k, np.searchsorted(cells, c)] = n
+            return pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int64)), *map(pa.array, sums)], ["cell", "homes", "queries", "every"])
+
         for _, _, _, x in vectors(batches):
             ball, angles = own.balls(x)
             every, some = own.relations(ball, angles)
             free = x[ball < 0]
-            homes += np.bincount(own.home(free), minlength=n) + np.bincount(own.cells + ball[ball >= 0], minlength=n)
-            queries += np.bincount(own.visits(free)[1], minlength=n)
-            queries[own.cells :] += some.sum(axis=0)
-            every_[own.cells :] += every.sum(axis=0)
-        at = np.flatnonzero(homes + queries + every_)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(homes[at]), pa.array(queries[at]), pa.array(every_[at])], ["cell", "homes", "queries", "every"])
+            for k, cells in enumerate(((own.home(free), own.cells + ball[ball >= 0]), (own.visits(free)[1], own.cells + np.nonzero(some)[1]), (own.cells + np.nonzero(every)[1],))):
+                held[k] += cells
+                size += sum(map(len, cells))
+            if size >= COUNTED:
+                yield out()
+                held, size = [[], [], []], 0
+        yield out()
 
     tally = source.transform(common.in_arrow, counted, "cell long, homes long, queries long, every long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in ("homes", "queries", "every")])
-    index.homes, index.queries, every_all = (np.zeros(len(index.homes), np.int64) for _ in range(3))
-    # At most CODEWORDS ** 2 + BALLS rows.
-    for r in tally.collect():
-        index.homes[r["cell"]], index.queries[r["cell"]], every_all[r["cell"]] = r["homes"], r["queries"], r["every"]
-    index.ball_all = every_all[index.cells :]
+    tally = common.materialize(tally, "multi-index-cells")
+    chunk = CHUNK
+    while tally.where(F.greatest("homes", "queries") > chunk).count() > BIG_CELLS:
+        chunk *= 2
+    big = tally.where(F.greatest("homes", "queries") > chunk).select("cell", "homes", "queries").toArrow().sort_by("cell")
+    cell, homes, queries = (big.column(k).to_numpy().astype(np.int64) for k in range(3))
+    # Buckets count from one.
+    bucket = (F.bitmap_bucket_number(F.col("cell") + 1) - 1).alias("bucket")
+    for name, times in (("homes", homes), ("queries", queries)):
+        bits = tally.where(F.col(name) > 0).groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bits")).collect()
+        setattr(index, name, Pieces(index.cells + len(index.leaders), {r["bucket"]: bytes(r["bits"]) for r in bits}, cell, -(-times // chunk)))
+    index.ball_all = np.zeros(len(index.leaders), np.int64)
+    # At most BALLS rows.
+    for r in tally.where(F.col("cell") >= index.cells).select("cell", "every").collect():
+        index.ball_all[r["cell"] - index.cells] = r["every"]
     # 4. Homes and queries to their groups.
     shared_4 = spark.sparkContext.broadcast(index)
     group = "cell long, h long, q long, role int, vec_id long, home long, unit binary"
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared_4.value
-        pieces_h, pieces_q = -(-own.homes // CHUNK), -(-own.queries // CHUNK)
+        pieces_h, pieces_q = own.homes, own.queries
         for _, _, ids, x in vectors(batches):
             ball, angles = own.balls(x)
             _, some = own.relations(ball, angles)

@@ -59,6 +59,41 @@ def test_chunks(spark, monkeypatch):
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
 
 
+def test_many_codewords(spark, monkeypatch):
+    """A grid far finer than these rows ask for, counted and compared by small pieces."""
+    monkeypatch.setattr(op, "codewords", lambda rows: 200)
+    monkeypatch.setattr(op, "BIG_CELLS", 3)
+    monkeypatch.setattr(op, "CHUNK", 4)
+    monkeypatch.setattr(op, "BALLS", 0)
+    rows = vectors(6, singles=900, hot=120)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()}
+    want = by_hand(rows)
+    assert sum(g[0] for g in got.values()) >= 0.99 * sum(w[0] for w in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+
+
+def test_pieces():
+    rng = np.random.RandomState(2)
+    full = np.sort(rng.choice(70_000, 3000, replace=False))
+    bits = {}
+    for c in full:
+        own = bits.setdefault(int(c) // op.BUCKET_BITS, bytearray(op.BUCKET_BITS // 8))
+        own[c % op.BUCKET_BITS // 8] |= 1 << (c % 8)
+    pieces = op.Pieces(70_000, bits, full[:10], np.arange(2, 12))
+    want = np.zeros(70_000, int)
+    want[full] = 1
+    want[full[:10]] = np.arange(2, 12)
+    assert (pieces[np.arange(70_000)] == want).all()
+
+
+def test_codewords_grow_with_rows():
+    assert [op.codewords(n) for n in (1, 128, 12_800, 1_280_000, 128_000_000)] == [1, 1, 10, 100, 1000]
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError, match="whole numbers"):
+        op.near_duplicates(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"))
+
+
 def test_visits_come_in_order_and_start_at_home():
     x = np.random.RandomState(3).normal(size=(300, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
