@@ -58,9 +58,9 @@ LEAST_MU, MOST_MU = 1e-3, 1e9
 #: The end of a text; no word holds a space.
 END = b" "
 #: n-grams whose counts a worker holds before it sends them, and words whose hashes it keeps.
-HELD, CACHE = 2_000_000, 300_000
+HELD, CACHE = 1_000_000, 200_000
 #: Text bytes scored or counted at a time; every token has some numbers of eight bytes.
-SLICE = 3 << 20
+SLICE = 1 << 20
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LEVEL, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)
 
