@@ -104,17 +104,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> Severit
     """rows: hashed features and their counts by text."""
     if not len(toxic) or toxic.all() or not toxic.any():
         return Severity({}, [])
-    texts_with = [Counter(), Counter()]
+    # A text names a feature once, so these are counts of texts; only features of toxic texts can get a weight.
+    found, with_toxic = np.unique(np.concatenate([fs for (fs, _), y in zip(rows, toxic, strict=True) if y]), return_counts=True)
+    with_clean = np.zeros(len(found), np.int64)
     for (fs, _), y in zip(rows, toxic, strict=True):
-        texts_with[int(y)].update(fs.tolist())
+        if not y and len(found):
+            at = np.minimum(np.searchsorted(found, fs), len(found) - 1)
+            with_clean[at[found[at] == fs]] += 1
     n = [int((~toxic).sum()), int(toxic.sum())]
     least = max(LEAST_TEXTS, round(len(rows) ** 0.5 / 7))
-    odds = {f: float(np.log((k + 0.5) / (n[1] + 1)) - np.log((texts_with[0][f] + 0.5) / (n[0] + 1))) for f, k in texts_with[1].items()}
+    odds = np.log((with_toxic + 0.5) / (n[1] + 1)) - np.log((with_clean + 0.5) / (n[0] + 1))
     # With weights of one sign, features hardly more frequent in toxic texts would get none.
-    log_odds = {f: x for f, x in odds.items() if x > LEAST_ODDS and texts_with[0][f] + texts_with[1][f] >= least}
+    kept = (odds > LEAST_ODDS) & (with_clean + with_toxic >= least)
+    log_odds = dict(zip(found[kept].tolist(), odds[kept].tolist(), strict=True))
     used = sorted(log_odds)
     y = grade(rows, toxic, log_odds)
-    names = np.array(used, np.int64)
+    names = np.array(used, np.uint32)
     feature, count, start = [], [], [0]
     for fs, cs in rows:
         at = np.minimum(np.searchsorted(names, fs), len(names) - 1) if len(names) else np.zeros(len(fs), int)
@@ -197,8 +202,12 @@ def train(
             )
 
     got = joined.transform(common.in_arrow, count, "id string, toxic int, features binary, counts binary").toArrow().sort_by([("id", "ascending"), ("features", "ascending")])
-    examples = [(np.frombuffer(a, np.uint32).astype(np.int64), np.frombuffer(b, np.uint32)) for a, b in zip(got.column("features").to_pylist(), got.column("counts").to_pylist(), strict=True)]
-    return fit(examples, np.array(got.column("toxic").to_pylist(), int) > 0)
+    # Views of the gathered table, not copies.
+    columns = ([np.frombuffer(x.as_buffer(), np.uint32) for x in got.column(name)] for name in ("features", "counts"))
+    model = fit(list(zip(*columns, strict=True)), np.array(got.column("toxic").to_pylist(), int) > 0)
+    del got, columns
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

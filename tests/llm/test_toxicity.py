@@ -66,3 +66,31 @@ def test_odd_cases(docs, empty, spark):
 def test_best_cut_lies_in_a_gap():
     p, y = np.array([0.9, 0.8, 0.3, 0.2]), np.array([True, True, False, False])
     assert op.best_cut(p, y) == pytest.approx(0.55)
+
+
+def test_scores_are_sums_over_distinct_words(docs, corpus):
+    """Every row's numbers, word by word from the weights and thresholds."""
+    import math
+    import zlib
+
+    model = op.Severity({zlib.crc32(b"w1"): 0.5, zlib.crc32(b"long"[:4], 1): 1.5, zlib.crc32(b"words"[:5], 2): 0.25}, [0.5, 1.0, 2.0], 0.6)
+    got = sorted(((r.doc_id, round(r.score, 9), round(r.p_toxic, 9), round(r.severity, 9), r.grade, r.toxic) for r in op.score(docs, model).collect()), key=str)
+    want = []
+    for doc_id, text, *_ in corpus:
+        letters = "".join(c if c.isascii() and c.isalpha() or ord(c) > 127 else " " for c in (text or "").lower())
+        z = 0.0
+        for word in {w.encode() for w in letters.split(" ") if w}:
+            z += model.weights.get(zlib.crc32(word), 0.0)
+            if len(word) >= 4:
+                z += model.weights.get(zlib.crc32(word[:4], 1), 0.0) + model.weights.get(zlib.crc32(word[:5], 2), 0.0)
+        p = [1.0, *(1 / (1 + math.exp(t - z)) for t in model.thresholds), 0.0]
+        exact = [p[k] - p[k + 1] for k in range(4)]
+        want.append((doc_id, round(z, 9), round(p[1], 9), round(sum(k * x for k, x in enumerate(exact)), 9), exact.index(max(exact)), p[1] > 0.6))
+    assert got == sorted(want, key=str)
+
+
+def test_sample_is_bounded_by_characters(spark):
+    docs = spark.createDataFrame([(i, ("awful " if i % 2 else "fine ") * 50 + f"x{i}") for i in range(400)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int")
+    whole, part = op.train(docs, labels), op.train(docs, labels, total_chars=40_000)
+    assert whole.weights and part.weights and part.thresholds != whole.thresholds
