@@ -6,6 +6,7 @@ import datetime
 import decimal
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,7 @@ def orders(spark: SparkSession, sf_dir: str) -> Dataset:
 ORDERS = "(SELECT o_orderkey, nullif(o_orderstatus, 'F') AS status, CASE WHEN o_custkey % 3 <> 0 THEN o_custkey END AS cust, o_totalprice FROM orders)"
 
 
-# --- scans -----------------------------------------------------------------------------------------------------------------
+# --- scans ---
 
 @query("SELECT * FROM nation")
 def scan_generic(spark, sf_dir):
@@ -107,7 +108,22 @@ def scan_options(spark, sf_dir):
     return Reader(spark).options(vectored_io=True, read={"mergeSchema": "false"}).projected_generic(Col("event_id"), Col("user_id")).read(path(sf_dir, "events")).df
 
 
-# --- projection ------------------------------------------------------------------------------------------------------------
+@query("SELECT count(*) AS n FROM events")
+def scan_by_file(spark, sf_dir):
+    return Reader(spark).read_by_file(path(sf_dir, "events")).df.groupBy("file").agg(F.count(F.lit(1)).alias("n")).select("n")
+
+
+@query("SELECT 'Asia/Tokyo' AS zone, '1970-01-01 09:00:00' AS shown UNION ALL SELECT 'UTC', '1970-01-01 00:00:00'")
+def scan_time_zone(spark, sf_dir):
+    """A read's zone is its dataset's own and not that of later reads."""
+    out = []
+    for zone in ("Asia/Tokyo", "UTC"):
+        df = Reader(spark).options(time_zone=zone).projected_generic(Col("r_regionkey")).read(path(sf_dir, "region")).df
+        out += df.where("r_regionkey = 0").select(F.lit(zone).alias("zone"), F.timestamp_seconds(F.col("r_regionkey")).cast("string").alias("shown")).collect()
+    return spark.createDataFrame(out, "zone string, shown string")
+
+
+# --- projection ---
 
 @query("SELECT o_orderkey, o_totalprice AS price FROM orders")
 def project_alias(spark, sf_dir):
@@ -149,7 +165,23 @@ def schema_walks(spark, sf_dir):
     return spark.createDataFrame([(p, t.simpleString() if t else "none") for p, t in found], "path string, type string")
 
 
-# --- records ---------------------------------------------------------------------------------------------------------------
+@query("SELECT 'invalid column projection: nothing.here' AS message")
+def project_invalid(spark, sf_dir):
+    try:
+        Reader(spark).projected_generic(Col("nothing.here")).read(path(sf_dir, "region"))
+    except ValueError as e:
+        return spark.createDataFrame([(str(e),)], "message string")
+    raise AssertionError("a projection of a missing column must fail")
+
+
+@query("SELECT c_custkey, c_mktsegment AS segment FROM customer")
+def project_single_values(spark, sf_dir):
+    """One field of each record, decoded by its path."""
+    df = nested_customers(spark, sf_dir).df
+    return df.select("c_custkey", Col("who.place.segment").column().alias("segment"))
+
+
+# --- records ---
 
 @query("SELECT 'x' AS zero, r_regionkey + 1 AS key, upper(r_name) AS r_name, 1 AS added FROM region")
 def record_update_drop_rename(spark, sf_dir):
@@ -182,7 +214,14 @@ def record_lists_and_maps(spark, sf_dir):
     return df.select("n_nationkey", records.list_at(xs, 1).alias("second"), records.list_length(xs).alias("len"), records.list_at(xs, 9).alias("beyond"), records.map_apply(m, "k").alias("v"), records.map_get(m, "z").alias("none"))
 
 
-# --- filters ---------------------------------------------------------------------------------------------------------------
+@query("SELECT true AS has_key, false AS has_other, NULL::BIGINT AS r_regionkey, NULL::VARCHAR AS r_name")
+def record_contains_and_empty(spark, sf_dir):
+    df = Reader(spark).read(path(sf_dir, "region")).df
+    blank = records.empty(spark, group(optional("r_regionkey", "bigint"), optional("r_name", "string")))
+    return blank.select(F.lit(records.contains(df, "r_name")).alias("has_key"), F.lit(records.contains(df, "x")).alias("has_other"), "r_regionkey", "r_name")
+
+
+# --- filters ---
 
 def _filter(name: str, predicate, sql: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: orders(spark, sf_dir).where(predicate).df
@@ -239,7 +278,7 @@ def filter_pushed_to_scan(spark, sf_dir):
     return Reader(spark).filter((Col("o_custkey") == 7) | (Col("o_totalprice") > 300000.0)).projected_generic(Col("o_orderkey"), Col("o_totalprice")).read(path(sf_dir, "orders")).df
 
 
-# --- joins -----------------------------------------------------------------------------------------------------------------
+# --- joins ---
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice AS price, c_custkey, c_name FROM orders JOIN customer ON o_custkey IS NOT DISTINCT FROM c_custkey WHERE o_totalprice >= 100000 AND o_orderstatus <> 'F'")
 def join_inner(spark, sf_dir):
@@ -314,7 +353,7 @@ def join_nested_key(spark, sf_dir):
     return nested_customers(spark, sf_dir).inner_join(right, "who.place.nation", "n_nationkey").df.select("c_custkey", "who.place.nation", "n_name")
 
 
-# --- concatenation ---------------------------------------------------------------------------------------------------------
+# --- concatenation ---
 
 @query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
 def concat_same(spark, sf_dir):
@@ -342,7 +381,7 @@ def concat_retyped(spark, sf_dir):
     return one.as_(want).concat(two.as_(want)).df
 
 
-# --- statistics ------------------------------------------------------------------------------------------------------------
+# --- statistics ---
 
 @query("SELECT count(*) AS record_count FROM lineitem")
 def stats_count(spark, sf_dir):
@@ -382,7 +421,7 @@ def stats_partition_column(spark, sf_dir):
     return Stats(_partitioned(spark, sf_dir)).summary("segment")
 
 
-# --- partitions and sinks --------------------------------------------------------------------------------------------------
+# --- partitions and sinks ---
 
 def _partitioned(spark: SparkSession, sf_dir: str, predicate=NOOP) -> Dataset:
     place = files.scratch(spark, "partitioned")
@@ -468,7 +507,7 @@ def write_custom(spark, sf_dir):
     return Reader(spark).custom(lambda s, p: s.read.orc(p)).read(place).df
 
 
-# --- streams ---------------------------------------------------------------------------------------------------------------
+# --- streams ---
 
 def _streamed(spark: SparkSession, sf_dir: str, table: str, build: Callable[[ViaParquet], ViaParquet], columns: tuple[str, ...]) -> str:
     """Streams a table through the sink to its end; gives the sink's path."""
@@ -514,7 +553,49 @@ def stream_post_write(spark, sf_dir):
     return spark.createDataFrame(sorted(told.items()), "segment string, n bigint")
 
 
-# --- scalar conversions ----------------------------------------------------------------------------------------------------
+@query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity FROM region")
+def stream_partition_using(spark, sf_dir):
+    def parity(df: DataFrame) -> DataFrame:
+        return df.withColumn("parity", F.when(F.col("r_regionkey") % 2 == 0, "even").otherwise("odd"))
+
+    return Reader(spark).read(_streamed(spark, sf_dir, "region", lambda v: v.partition_using(parity, "parity"), ("r_regionkey",))).df
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def stream_after_failure(spark, sf_dir):
+    """A stage behind the sink fails once; the stream goes on from its checkpoint, and no record is lost or twice there."""
+    source, place, checkpoint = (files.scratch(spark, x) for x in ("stream-in", "stream-out", "stream-check"))
+    df = Reader(spark).read(path(sf_dir, "nation")).df.select("n_nationkey", "n_name")
+    Writer(spark).write_dataset(source, df.repartition(3))
+    failures = ["once"]
+
+    def then(batch: DataFrame, number: int) -> None:
+        if number == 1 and failures:
+            raise RuntimeError(failures.pop())
+
+    for _ in range(2):
+        stream = Reader(spark).stream(source, df.schema, max_files_per_trigger=1).df
+        try:
+            ViaParquet(spark).write(stream, place, checkpoint, then=then, available_now=True).awaitTermination()
+        except StreamingQueryException as e:
+            if "once" not in str(e):
+                raise
+    return Reader(spark).read(place).df
+
+
+@query("SELECT 'there is no field nothing to partition by' AS message UNION ALL SELECT 'partition field n_nationkey is int, not text' UNION ALL SELECT 'partitioning takes all fields; none is left to write'")
+def write_errors(spark, sf_dir):
+    df = Reader(spark).read(path(sf_dir, "nation")).df.select(F.col("n_nationkey").cast("int"), "n_name")
+    told = []
+    for columns, by in ((("n_name",), "nothing"), (("n_nationkey", "n_name"), "n_nationkey"), (("n_name",), "n_name")):
+        try:
+            Writer(spark).write_dataset(files.scratch(spark, "never"), df.select(*columns), (by,))
+        except ValueError as e:
+            told.append((str(e),))
+    return spark.createDataFrame(told, "message string")
+
+
+# --- scalar conversions ---
 
 @query("SELECT event_id, epoch_ms(event_id * 1000) AS millis, make_timestamp(event_id) AS micros, make_timestamp(event_id * 7 // 1000) AS nanos FROM events")
 def codec_timestamp_units(spark, sf_dir):
@@ -536,6 +617,38 @@ def codec_narrowing(spark, sf_dir):
     return conform(df, group(optional("o_orderkey", "bigint"), optional("narrow", "int")))
 
 
+def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants through the ages, with microseconds: some hours and days about midnight for every event."""
+    i = F.col("event_id")
+    return Reader(spark).read(path(sf_dir, "events")).df.select("event_id", F.timestamp_micros((i - 5000) * 43_199_999_983).alias("at"))
+
+
+_INSTANTS = "(SELECT event_id, (event_id - 5000) * 43199999983 AS us FROM events)"
+
+
+@query(f"SELECT event_id, us AS micros FROM {_INSTANTS}")
+def codec_int96(spark, sf_dir):
+    """Written as INT96 and read back, with days before 1970 and times about midnight."""
+    place = files.scratch(spark, "int96")
+    Writer(spark).options(timestamp_type="INT96").write_dataset(place, _instants(spark, sf_dir))
+    return Reader(spark).read(place).df.select("event_id", codecs.units_of(F.col("at"), "micros").alias("micros"))
+
+
+@query(f"SELECT event_id, us - 3600000000 AS west, us + 3600000000 AS east, us AS back, floor(us / 86400000000)::INTEGER AS day FROM {_INSTANTS}")
+def codec_zones(spark, sf_dir):
+    """Local times of two zones as instants, there and back, and days since the epoch in UTC."""
+    at, us = F.col("at"), lambda c: codecs.units_of(c, "micros")
+    there = codecs.instant_to_local(at, "GMT+1")
+    day = codecs.epoch_day(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(us(at) / 86_400_000_000).cast("int")))
+    return _instants(spark, sf_dir).select("event_id", us(codecs.instant_to_local(at, "GMT-1")).alias("west"), us(there).alias("east"), us(codecs.local_to_instant(there, "GMT+1")).alias("back"), day.alias("day"))
+
+
+@query("SELECT n::INTEGER AS number FROM (VALUES (7), (-3), (2147483647), (-2147483648), (0)) t(n)")
+def proto_unknown_enum_numbers(spark, sf_dir):
+    df = spark.createDataFrame([(7,), (-3,), (2147483647,), (-2147483648,), (0,)], "n int").select(proto.enum_name(F.col("n"), {0: "ZERO"}).alias("name"))
+    return df.select(proto.enum_number(F.col("name"), {"ZERO": 0}).alias("number"))
+
+
 @query("SELECT n_nationkey, n_name AS there_and_back, ascii(n_name)::INTEGER AS code FROM nation")
 def codec_url_and_char(spark, sf_dir):
     df = Reader(spark).read(path(sf_dir, "nation")).df

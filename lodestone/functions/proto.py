@@ -50,4 +50,4 @@ def enum_number(name: Column, numbers: dict[str, int]) -> Column:
     out = F.expr("CAST(NULL AS INT)")
     for n, number in numbers.items():
         out = F.when(name == n, F.lit(number)).otherwise(out)
-    return F.coalesce(out, F.call_function("try_to_number", name, F.lit("999999999")).cast("int"))
+    return F.coalesce(out, name.try_cast("int"))

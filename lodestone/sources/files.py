@@ -92,9 +92,11 @@ def partition_leaves(spark: SparkSession, path: str) -> list[tuple[str, tuple[st
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path that executors share: under ``spark.checkpoint.dir``; where that is unset, a local folder, as in tests."""
+    """A fresh path that executors share: under ``spark.checkpoint.dir``; where that is unset and all runs on this machine, a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, local, True)
         root = "file://" + local

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +26,16 @@ class InMemoryFile:
             raise FileExistsError("the file holds data; take() it first")
         from lodestone.sources.writer import Writer
 
-        with tempfile.TemporaryDirectory() as folder:
-            path = os.path.join(folder, "file.parquet")
-            Writer(df.sparkSession).write_and_close(f"file://{path}", df)
-            with open(path, "rb") as f:
-                self.data = f.read()
+        spark = df.sparkSession
+        path = files.scratch(spark, "memory") + ".parquet"
+        Writer(spark).write_and_close(path, df)
+        fs, p = files.fs_path(spark, path)
+        stream = fs.open(p)
+        try:
+            self.data = bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+            files.delete(spark, path)
 
     def take(self) -> bytes:
         """The bytes; the file is empty after."""

@@ -33,7 +33,8 @@ _PLAIN = re.compile(r"[A-Za-z0-9._ -]*")
 
 @dataclass(frozen=True)
 class ReadOptions:
-    """``time_zone`` is the session's; vectored IO and Hadoop settings go to the scan; ``nanos_as_long`` reads INT64 nanoseconds as numbers."""
+    """Options of one read; none outlives it. ``time_zone`` is that of a session of the dataset's own; vectored IO and Hadoop settings go to the scan;
+    ``nanos_as_long`` reads INT64 nanoseconds as numbers."""
 
     time_zone: str | None = None
     vectored_io: bool | None = None
@@ -85,11 +86,7 @@ class Reader:
         if isinstance(path, InMemoryFile):
             path = path.materialized(self.spark)
         if self.opts.time_zone:
-            self.spark.conf.set("spark.sql.session.timeZone", self.opts.time_zone)
-        if self.opts.vectored_io is not None:
-            self.spark.sparkContext._jsc.hadoopConfiguration().set("parquet.hadoop.vectored.io.enabled", str(self.opts.vectored_io).lower())
-        for k, v in self.opts.hadoop.items():
-            self.spark.sparkContext._jsc.hadoopConfiguration().set(k, v)
+            return replace(self, spark=_zoned(self.spark, self.opts.time_zone), opts=replace(self.opts, time_zone=None)).read(path, read_map)
         df, partitions = (self.reader_fn(self.spark, path), ()) if self.reader_fn else self._scan(path)
         return Dataset(self._shaped(read_map(df) if read_map else df, partitions), partitions)
 
@@ -104,6 +101,11 @@ class Reader:
         """Each file's own dataset, in the order of their names; lazy, one scan each."""
         return [(f, self.read(f)) for f in files.data_files(self.spark, path)]
 
+    def read_by_file(self, path: str, name: str = "file") -> Dataset:
+        """All files' records in one scan, with the file that each comes from: to work file by file without a list of files on the driver."""
+        df, partitions = self._scan(path)
+        return Dataset(self._shaped(df.withColumn(name, F.col("_metadata.file_path")), partitions), partitions)
+
     def _shaped(self, df: DataFrame, partitions: tuple[str, ...]) -> DataFrame:
         if not isinstance(self.predicate, Noop):
             if not df.columns:
@@ -122,7 +124,10 @@ class Reader:
 
     def _scan(self, path: str) -> tuple[DataFrame, tuple[str, ...]]:
         spark = self.spark
-        reader = spark.read.options(**self.opts.read)
+        scan = dict(self.opts.hadoop)
+        if self.opts.vectored_io is not None:
+            scan["parquet.hadoop.vectored.io.enabled"] = str(self.opts.vectored_io).lower()
+        reader = spark.read.options(**{**scan, **self.opts.read})
         before = {k: spark.conf.get(k, None) for k in (_INFER, "spark.sql.legacy.parquet.nanosAsLong")}
         spark.conf.set(_INFER, "false")
         if self.opts.nanos_as_long:
@@ -148,6 +153,13 @@ class Reader:
         return _partitioned(df, names), names
 
 
+def _zoned(spark: SparkSession, zone: str) -> SparkSession:
+    """A session like this one but for its time zone."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.session.timeZone", zone)
+    return own
+
+
 def _optional(kind: T.DataType) -> T.DataType:
     """A type whose parts may all be null."""
     if isinstance(kind, T.StructType):
@@ -170,7 +182,9 @@ def _partitioned(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     if not names:
         return df
     # Only values that Spark reads otherwise than URLDecoder are taken from paths; other trees keep partition pruning.
-    odd = [n for n in names if any(not _PLAIN.fullmatch(v) for f in df.inputFiles() for v in re.findall(rf"/{re.escape(n)}=([^/]*)/", f))]
+    index = df._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    folders = index.partitionSpec().partitions().mkString("/\n") + "/"
+    odd = [n for n in names if any(not _PLAIN.fullmatch(v) for v in set(re.findall(rf"/{re.escape(n)}=([^/\n]*)/", folders.replace(")/", "/"))))]
     for n in odd:
         raw = F.regexp_extract(F.col("_metadata.file_path"), rf"/{re.escape(n)}=([^/]*)/", 1)
         # The path is URI-encoded once more; null stays null.

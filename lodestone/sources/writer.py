@@ -78,10 +78,13 @@ class Writer:
             self._parquet(df.coalesce(1), draft, "errorifexists")
             parts = [p for p in files.data_files(self.spark, draft) if p.endswith(".parquet")]
             if files.exists(self.spark, path):
-                files.delete(self.spark, path)
+                # The old file steps aside and goes when the new one is in its place: a crash leaves one of them.
+                files.rename(self.spark, path, f"{draft}.old")
             files.rename(self.spark, parts[0], path)
         finally:
             files.delete(self.spark, draft)
+            if files.exists(self.spark, path):
+                files.delete(self.spark, f"{draft}.old")
 
     def build(self, path: str) -> IncrementalWriter:
         """A writer that takes chunks until it is closed."""

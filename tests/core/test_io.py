@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +256,40 @@ def test_entry_registers_queries_and_sql():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and json.dumps(e.oracle_sql())
+
+
+def test_statistics_from_footers(spark, tmp):
+    df = spark.range(1000).selectExpr("id", "CAST(id AS int) AS i", "date_add(DATE'1970-01-01', CAST(id AS int)) AS d", "CAST(id AS string) AS t", "CAST(NULL AS int) AS none", "CAST(id AS double) AS x")
+    df.repartition(3).write.parquet(f"{tmp}/s")
+    found = StatsBuilder(spark).stats(f"{tmp}/s")
+    plan = found.footer_plan("id", "d")._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(id), MAX(id), MIN(d), MAX(d)]" in plan
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert tuple(found.summary("id", "i").first()) == (1000, 0, 999, 0, 999) and found.record_count() == 1000 and str(found.max("d")) == "1972-09-26"
+    assert found.from_footers("none") is None and found.min("none") is None
+    assert found.footer_plan("t") is None and found.footer_plan("x") is None and found.min("t") == "0" and found.max("x") == 999.0 and found.min("gone") is None
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    filtered = StatsBuilder(spark).filter(Col("id") > 10).stats(f"{tmp}/s")
+    assert filtered.footer_plan("id") is None and filtered.min("id") == 11
+
+
+def test_options_of_a_read_do_not_outlive_it(spark, tmp):
+    spark.range(3).write.parquet(f"{tmp}/o")
+    zone, hadoop = spark.conf.get("spark.sql.session.timeZone"), spark.sparkContext._jsc.hadoopConfiguration()
+    before = hadoop.get("parquet.hadoop.vectored.io.enabled")
+    d = Reader(spark).options(time_zone="Asia/Tokyo", vectored_io=False, hadoop={"x.y.z": "1"}).read(f"{tmp}/o")
+    assert d.df.count() == 3 and spark.conf.get("spark.sql.session.timeZone") == zone
+    assert d.df.selectExpr("CAST(timestamp_seconds(0) AS string) AS s").first().s == "1970-01-01 09:00:00"
+    assert hadoop.get("parquet.hadoop.vectored.io.enabled") == before and hadoop.get("x.y.z") is None
+
+
+def test_records_by_file(spark, tmp):
+    spark.range(30).repartition(3).write.parquet(f"{tmp}/f")
+    got = Reader(spark).filter(Col("id") >= 0).read_by_file(f"{tmp}/f").df.groupBy("file").count().collect()
+    assert len(got) == 3 and sum(r["count"] for r in got) == 30
+
+
+def test_overwritten_file_steps_aside(spark, tmp):
+    for n in (3, 5):
+        Writer(spark).options(mode=OVERWRITE).write_and_close(f"{tmp}/one.parquet", spark.range(n).coalesce(1))
+    assert spark.read.parquet(f"{tmp}/one.parquet").count() == 5 and [x for x in os.listdir(tmp.removeprefix("file://")) if not x.startswith(".one.parquet.crc")] == ["one.parquet"]
