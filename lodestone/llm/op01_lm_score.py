@@ -28,12 +28,12 @@ from __future__ import annotations
 import hashlib
 import io
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -57,19 +57,49 @@ HOT_WORDS, NAME_BYTES = 150_000, 64
 LEAST_MU, MOST_MU = 1e-3, 1e9
 #: The end of a text; no word holds a space.
 END = b" "
-#: n-grams whose counts a worker holds before it sends them, and words whose hashes it keeps.
-HELD, CACHE = 1_000_000, 200_000
+#: Tokens whose counts a worker holds before it sends them, and words whose hashes it keeps.
+HELD, CACHE = 2_000_000, 200_000
 #: Text bytes scored or counted at a time; every token has some numbers of eight bytes.
 SLICE = 1 << 20
+#: n-grams that are probed at a time, so that what the probes hold stays in a processor's cache.
+PROBED = 1 << 15
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LEVEL, _STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x94D049BB133111EB)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words between characters of ``[\\x20\\x09-\\x0D]``, then the end."""
-    out = (text or "").encode().lower().split()
-    out.append(END)
-    return out
+class Tokens:
+    """A run of texts as tokens: lower-cased (A-Z) words between characters of ``[\\x20\\x09-\\x0D]``, and after each text's the end; null is empty.
+
+    ``words`` are the distinct ones, the end last; ``codes`` their places in it, token by token; ``starts`` and ``sizes`` are the texts'.
+    """
+
+    def __init__(self, texts: pa.Array) -> None:
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        held = texts.buffers()[2] if len(texts) else None
+        data = np.frombuffer(held, np.uint8)[bounds[0] : bounds[-1]] if held else np.zeros(0, np.uint8)
+        bounds = bounds - bounds[0]
+        inside = ((data - np.uint8(9)) > 4) & (data != 32)
+        lower = data + (((data - np.uint8(65)) < 26).view(np.uint8) << np.uint8(5))
+        # A word begins or ends at white space and at a text's bounds.
+        edge = np.ones(len(data) + 1, bool)
+        np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+        edge[bounds] = True
+        begin, end = np.flatnonzero(inside & edge[:-1]), np.flatnonzero(inside & edge[1:]) + 1
+        offsets = np.zeros(len(begin) + 1, np.int32)
+        np.cumsum(end - begin, out=offsets[1:])
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(lower[inside])]).dictionary_encode()
+        self.words: pa.Array = pa.concat_arrays([found.dictionary, pa.array([END], pa.binary())])
+        self.sizes = np.diff(np.searchsorted(begin, bounds)) + 1
+        ends = np.cumsum(self.sizes)
+        self.starts = ends - self.sizes
+        is_word = np.ones(len(begin) + len(texts), bool)
+        is_word[ends - 1] = False
+        self.codes = np.full(len(is_word), len(self.words) - 1, np.int32)
+        self.codes[is_word] = found.indices.to_numpy()
+
+    def listed(self) -> list[bytes]:
+        return self.words.to_numpy(zero_copy_only=False).tolist()
 
 
 class Hashes(dict):
@@ -85,6 +115,11 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """As :class:`Hashes`, for words that come once."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -127,20 +162,40 @@ class Filter:
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """By membership probes, level after level, until one is missing."""
-        out, open_ = np.zeros(len(key), np.uint8), np.arange(len(key))
-        base = (segment(key, self.segment_bits) - self.first).astype(np.uint64) * np.uint64(self.width)
+        return self.levels_up_to(key, np.full(len(key), LEVELS, np.uint8))
+
+    def levels_up_to(self, key: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """The lesser of an n-gram's level and ``most``, beyond which it is not probed. Sorted keys are probed near each other."""
+        out = np.zeros(len(key), np.uint8)
+        for lo in range(0, len(key), PROBED):
+            self._probe(key[lo : lo + PROBED], most[lo : lo + PROBED], out[lo : lo + PROBED])
+        return out
+
+    def _probe(self, key: np.ndarray, most: np.ndarray, out: np.ndarray) -> None:
+        width, half = np.uint64(self.width), np.uint64(32)
+        open_ = np.arange(len(key))
+        at = (segment(key, self.segment_bits) - self.first).astype(np.uint64) * width
         for q in range(1, LEVELS + 1):
-            at = base[open_]
-            x, step = self.start(key[open_], q)
-            for i in range(PROBES):
-                bit = at + self.place(x, step, i, self.width)
-                good = np.flatnonzero((self.bytes_[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-                if len(good) < len(at):
-                    at, x, step, open_ = at[good], x[good], step[good], open_[good]
-            out[open_] = q
+            more = np.flatnonzero(most >= q)
+            if len(more) < len(open_):
+                at, key, most, open_ = at[more], key[more], most[more], open_[more]
             if not len(open_):
                 break
-        return out
+            # As ``place``, probe by probe.
+            x, step = self.start(key, q)
+            for i in range(PROBES):
+                if i:
+                    x += step
+                bit = x >> half
+                bit *= width
+                bit >>= half
+                bit += at
+                bytes_ = self.bytes_.take((bit >> np.uint64(3)).view(np.int64))
+                bytes_ >>= bit.astype(np.uint8) & np.uint8(7)
+                good = np.flatnonzero((bytes_ & np.uint8(1)).view(bool))
+                if len(good) < len(open_):
+                    at, key, most, open_, x, step = at[good], key[good], most[good], open_[good], x[good], step[good]
+            out[open_] = q
 
 
 _END_HASH = np.uint64(xxhash.xxh3_64_intdigest(END))
@@ -153,6 +208,15 @@ def before(words: np.ndarray, starts: np.ndarray, end: int | np.uint64 = _END_HA
     return out
 
 
+def pairs(found: Tokens, hashed: np.ndarray) -> np.ndarray:
+    """Hashes of the tokens' pairs from those of their distinct words."""
+    out = np.empty(len(found.codes), np.uint64)
+    prior = before(found.codes, found.starts, len(hashed) - 1)
+    for lo in range(0, len(out), PROBED):
+        out[lo : lo + PROBED] = pair_hash(hashed[prior[lo : lo + PROBED]], hashed[found.codes[lo : lo + PROBED]])
+    return out
+
+
 class Model:
     """Sizes, MU, and where the filter is: broadcast with the model, or as a table of segments."""
 
@@ -164,18 +228,34 @@ class Model:
 
     def log_p(self, own: np.ndarray, prior: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """log10 P(token | token before) from the levels of the token, the one before and the pair."""
+        out = np.empty(len(own))
+        for lo in range(0, len(own), PROBED):
+            hi = lo + PROBED
+            out[lo:hi] = self._log_p(own[lo:hi], prior[lo:hi], pair[lo:hi])
+        return out
+
+    def _log_p(self, own: np.ndarray, prior: np.ndarray, pair: np.ndarray) -> np.ndarray:
         own, prior, pair = (np.minimum(MIDDLE[x], self.n) for x in (own, prior, pair))
         pair = np.minimum(pair, np.minimum(own, prior))
         p = np.minimum((own + 0.1) / (self.n + 0.1 * (self.v + 1)), 1.0)
         return np.log10((pair + self.mu * p) / (prior + self.mu))
 
-    def scores(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probabilities of whole texts, by the filter at hand."""
-        unique, back = np.unique(np.concatenate([words, [_END_HASH]]), return_inverse=True)
-        known = self.filter.levels(unique)[back]
-        own, end = known[:-1], known[-1]
-        pair = self.filter.levels(pair_hash(before(words, starts), words))
-        return np.add.reduceat(self.log_p(own, before(own, starts, end), pair), starts)
+    def scores(self, found: Tokens, hashed: np.ndarray) -> np.ndarray:
+        """log10 probabilities of whole texts, by the filter at hand; ``hashed`` are their distinct words."""
+        known, order = np.zeros(len(hashed), np.uint8), np.argsort(hashed)
+        known[order] = self.filter.levels(hashed[order])
+        own = known[found.codes]
+        prior = before(own, found.starts, known[-1])
+        keys = pairs(found, hashed)
+        # Each pair once, and no further than to the levels of its words, to which it is held.
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        heads = np.flatnonzero(new)
+        pair = np.empty(len(keys), np.uint8)
+        pair[order] = self.filter.levels_up_to(keys[heads], np.maximum.reduceat(np.minimum(own, prior)[order], heads))[np.cumsum(new) - 1]
+        return np.add.reduceat(self.log_p(own, prior, pair), found.starts)
 
 
 def unseen_mu(sizes: list[tuple[int, int]], singles: int) -> float:
@@ -190,36 +270,43 @@ def unseen_mu(sizes: list[tuple[int, int]], singles: int) -> float:
     return math.exp((low + high) / 2)
 
 
-def _flat(texts: list[str | None], hashes: Hashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    lists = [tokens(t) for t in texts]
-    starts = np.cumsum([0, *map(len, lists)])[:-1] if lists else np.zeros(0, np.int64)
-    return lists, hashes.array([w for x in lists for w in x]), starts
-
-
 def name(word: bytes) -> bytes:
     """The word, or for a long one a name that no word has."""
     return word if len(word) <= NAME_BYTES else END + hashlib.sha256(word).digest()
 
 
+def named(words: pa.Array) -> pa.Array:
+    """The words by their names."""
+    long = np.flatnonzero(pc.binary_length(words).to_numpy(zero_copy_only=False) > NAME_BYTES)
+    if not len(long):
+        return words
+    own = words.to_pylist()
+    for i in long.tolist():
+        own[i] = name(own[i])
+    return pa.array(own, pa.binary())
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, summed over some millions of tokens at a time."""
-    words, held = Counter(), 0
 
-    def out() -> Iterator[pa.RecordBatch]:
-        own = sorted(words)
+    def out(parts: list[tuple[pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not parts:
+            return
+        all_ = pa.concat_arrays([x for x, _ in parts]).dictionary_encode()
+        n = np.bincount(all_.indices.to_numpy(), np.concatenate([x for _, x in parts])).astype(np.int64)
+        own = named(all_.dictionary)
         for lo in range(0, len(own), 100_000):
-            part = own[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([name(w) for w in part], pa.binary()), pa.array([words[w] for w in part], pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([own[lo : lo + 100_000], pa.array(n[lo : lo + 100_000])], ["word", "n"])
 
+    parts, held = [], 0
     for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
-        for text in batch.column(0).to_pylist():
-            own = tokens(text)
-            words.update(own)
-            held += len(own)
+        found = Tokens(batch.column(0))
+        parts.append((found.words, np.bincount(found.codes, minlength=len(found.words))))
+        held += len(found.codes)
         if held >= HELD:
-            yield from out()
-            words, held = Counter(), 0
-    yield from out()
+            yield from out(parts)
+            parts, held = [], 0
+    yield from out(parts)
 
 
 def _count_grams(segment_bits: int):
@@ -243,11 +330,12 @@ def _count_grams(segment_bits: int):
             )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, grams, held = Hashes(), [], 0
+        grams, held = [], 0
         for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
-            _, flat, starts = _flat(batch.column(0).to_pylist(), hashes)
-            grams += [flat, pair_hash(before(flat, starts), flat)]
-            held += len(flat)
+            found = Tokens(batch.column(0))
+            hashed = word_hashes(found.listed())
+            grams += [hashed[found.codes], pairs(found, hashed)]
+            held += len(found.codes)
             if held >= HELD:
                 yield from out(grams)
                 grams, held = [], 0
@@ -350,27 +438,23 @@ def hot_words(words: DataFrame) -> tuple[dict[bytes, int], int]:
 PREPARED = ["doc_id", "held_out", "text_md5", "n_tokens", "n_hot", "hot_score", "cold"]
 
 
-def _prepared(batch: pa.RecordBatch, hashes: Hashes, logs: dict[bytes, float]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
-    """What a slice of texts says without the filter, and its hashed tokens and the texts' starts. batch: doc_id, held_out, text_md5, text."""
-    lists, flat, starts = _flat(batch.column(3).to_pylist(), hashes)
-    every = [w if len(w) <= NAME_BYTES else name(w) for x in lists for w in x]
-    sizes = np.diff([*starts, len(every)])
-    logs_of = np.fromiter(map(logs.get, every, repeat(math.nan)), float, len(every))
-    cold_at = np.flatnonzero(np.isnan(logs_of))
-    hot_score = np.add.reduceat(np.nan_to_num(logs_of), starts)
+def _prepared(batch: pa.RecordBatch, logs: dict[bytes, float]) -> tuple[pa.RecordBatch, Tokens, np.ndarray]:
+    """What a slice of texts says without the filter, its tokens and their distinct words' hashes. batch: doc_id, held_out, text_md5, text."""
+    found = Tokens(batch.column(3))
+    own = found.listed()
+    names = named(found.words)
+    logs_of = np.fromiter(map(logs.get, own if names is found.words else names.to_pylist(), repeat(math.nan)), float, len(own))
+    is_cold = np.isnan(logs_of)
+    hot_score = np.add.reduceat(np.nan_to_num(logs_of)[found.codes], found.starts)
     # A text's words that are not hot, each once with its frequency.
-    words_, tf, ends = [], [], np.searchsorted(cold_at, starts + sizes).tolist()
-    offsets, lo = [0], 0
-    picked = [every[i] for i in cold_at.tolist()]
-    for hi in ends:
-        found = Counter(picked[lo:hi])
-        words_ += found.keys()
-        tf += found.values()
-        offsets.append(len(words_))
-        lo = hi
-    cold = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words_, pa.binary()), pa.array(tf, pa.int64())], ["word", "tf"]))
-    n_hot = sizes - np.diff([0, *ends])
-    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(sizes), pa.array(n_hot), pa.array(hot_score), cold], PREPARED), flat, starts
+    at = np.flatnonzero(is_cold[found.codes])
+    texts = np.repeat(np.arange(len(found.sizes)), found.sizes)[at]
+    each, tf = np.unique(texts * len(own) + found.codes[at], return_counts=True)
+    offsets = np.searchsorted(each, np.arange(len(found.sizes) + 1) * len(own)).astype(np.int32)
+    words = pa.StructArray.from_arrays([names.take(pa.array(each % len(own))), pa.array(tf, pa.int64())], ["word", "tf"])
+    n_hot = found.sizes - np.bincount(texts, minlength=len(found.sizes))
+    cold = pa.ListArray.from_arrays(pa.array(offsets), words)
+    return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found.sizes), pa.array(n_hot), pa.array(hot_score), cold], PREPARED), found, word_hashes(own)
 
 
 def _with_score(prepared: pa.RecordBatch, scores: np.ndarray) -> pa.RecordBatch:
@@ -399,11 +483,12 @@ def scored_by_shards(source: DataFrame, model: Model, known: Broadcast, schema:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each run of texts one row (shard -1) with its prepared rows and the places of its tokens' n-grams, and its n-grams by shard."""
-        hashes, logs, task = Hashes(), known.value, TaskContext.get()
+        logs, task = known.value, TaskContext.get()
         packed = pa.ipc.IpcWriteOptions(compression="zstd")
         run = 0
         for batch in (x for b in batches for x in common.slices(b, 3, SLICE)):
-            prepared, flat, starts = _prepared(batch, hashes, logs)
+            prepared, found, hashed = _prepared(batch, logs)
+            flat, starts = hashed[found.codes], found.starts
             keys, at = np.unique(np.concatenate([flat, [_END_HASH], pair_hash(before(flat, starts), flat)]), return_inverse=True)
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, prepared.schema, options=packed) as out:
@@ -475,10 +560,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, own, logs = Hashes(), shared.value, known.value
+            own, logs = shared.value, known.value
             for batch in (x for b in batches for x in common.slices(b, 3, SLICE)):
-                prepared, flat, starts = _prepared(batch, hashes, logs)
-                yield _with_score(prepared, own.scores(flat, starts))
+                prepared, found, hashed = _prepared(batch, logs)
+                yield _with_score(prepared, own.scores(found, hashed))
 
         scored = source.transform(common.in_arrow, run, schema)
     # One row per cold word; a text's own numbers ride on the first. A text without cold words gets a word that no table holds.

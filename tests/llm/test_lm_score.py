@@ -126,6 +126,60 @@ def test_filter_never_underestimates():
     assert (strange > 0).mean() < 0.02
 
 
+def test_tokens_are_those_of_a_loop(corpus):
+    import pyarrow as pa
+
+    odd = [None, "", " ", "\n\t\x0b\x0c\r ", "a", " a", "a ", "A  b\x0bÉ\x1c\x85\xa0c", "", "b", None, "İI", "x\x00y \x00"]
+    texts = pa.array([*odd, *(t for _, t, *_ in corpus), *odd], pa.string())
+    for part in (texts, texts.slice(3, 20), texts.slice(0, 2), texts.slice(0, 0), texts.cast(pa.large_string())):
+        found, want = op.Tokens(part), [tokens(t) for t in part.to_pylist()]
+        words = found.listed()
+        assert len(set(words)) == len(words) and words[-1] == b" "
+        assert [words[c] for c in found.codes] == [w for x in want for w in x]
+        assert list(found.sizes) == list(map(len, want)) and list(found.starts) == list(np.cumsum([0, *map(len, want)])[: len(want)])
+
+
+def test_counting_and_preparing_cost_less_than_a_loop_over_tokens():
+    """Work is by distinct word of a slice, not by token."""
+    import random
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6)) % 20_000}" for _ in range(500)) for _ in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    whole = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([False] * 1000), pa.array(["m"] * 1000), pa.array(texts)], ["doc_id", "held_out", "text_md5", "text"])
+    logs = {b"w%d" % i: 1.0 for i in range(1000)}
+
+    def loop():
+        counts = Counter()
+        for t in texts:
+            counts.update(tokens(t))
+
+    def cost(run):
+        out = []
+        for _ in range(3):
+            start = time.process_time()
+            run()
+            out.append(time.process_time() - start)
+        return min(out)
+
+    by_loop = cost(loop)
+    assert cost(lambda: list(op._count_words(iter([batch])))) < 0.7 * by_loop
+    assert cost(lambda: op._prepared(whole, logs)) < 1.2 * by_loop
+
+
+def test_a_pair_is_probed_no_further_than_its_words():
+    rng = np.random.RandomState(4)
+    flags = rng.randint(0, 256, (2, 1 << 16)).astype(np.uint8)
+    filter_ = op.Filter((flags[0] | flags[1]).tobytes() + b"\xff" * (1 << 16), 1 << 17, 3)
+    keys = np.sort(rng.randint(0, 1 << 62, 100_000).astype(np.uint64) * np.uint64(4))
+    most = rng.randint(0, 6, len(keys)).astype(np.uint8)
+    levels = filter_.levels(keys)
+    assert len(set(levels.tolist())) > 3 and (filter_.levels_up_to(keys, most) == np.minimum(levels, most)).all()
+
+
 def test_long_words_by_name(spark):
     """A separator line in most texts is a word like others."""
     line = "=" * 500
