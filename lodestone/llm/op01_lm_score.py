@@ -13,6 +13,7 @@ segments; an n-gram's hash names its segment and all its items fall in it. Tasks
 built whole by one task from summed counts; segments number so many that the counts of one fit a worker. A filter of at most
 ``broadcast_bits`` is broadcast. A larger one stays in the shared folder and is probed where it lies: a run of texts sends its distinct n-grams,
 packed, to the shards (runs of segments) that hold them, each shard's task probes them, and the levels return to the run. Both ways give the same scores.
+A run's own rows pass by the shards' stage, so that texts are read once for it; its tokens go as codes of its distinct words.
 
 The base score needs exact counts. Words that occur often (at most :data:`HOT_WORDS` of them, by a threshold on their counts) are broadcast
 with their counts; the others' are joined by a shuffle, in which each text sends a word once. A word of more than :data:`NAME_BYTES`
@@ -29,6 +30,7 @@ import hashlib
 import io
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
@@ -61,6 +63,8 @@ END = b" "
 HELD, CACHE = 2_000_000, 200_000
 #: Text bytes scored or counted at a time; every token has some numbers of eight bytes.
 SLICE = 1 << 20
+#: Text bytes of a run, whose distinct n-grams are sent to the shards together.
+RUN = 4 << 20
 #: n-grams that are probed at a time, so that what the probes hold stays in a processor's cache.
 PROBED = 1 << 15
 _PAIR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -208,12 +212,12 @@ def before(words: np.ndarray, starts: np.ndarray, end: int | np.uint64 = _END_HA
     return out
 
 
-def pairs(found: Tokens, hashed: np.ndarray) -> np.ndarray:
-    """Hashes of the tokens' pairs from those of their distinct words."""
-    out = np.empty(len(found.codes), np.uint64)
-    prior = before(found.codes, found.starts, len(hashed) - 1)
+def pairs(codes: np.ndarray, starts: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Hashes of the tokens' pairs from those of their distinct words, the end last."""
+    out = np.empty(len(codes), np.uint64)
+    prior = before(codes, starts, len(hashed) - 1)
     for lo in range(0, len(out), PROBED):
-        out[lo : lo + PROBED] = pair_hash(hashed[prior[lo : lo + PROBED]], hashed[found.codes[lo : lo + PROBED]])
+        out[lo : lo + PROBED] = pair_hash(hashed[prior[lo : lo + PROBED]], hashed[codes[lo : lo + PROBED]])
     return out
 
 
@@ -246,7 +250,7 @@ class Model:
         known[order] = self.filter.levels(hashed[order])
         own = known[found.codes]
         prior = before(own, found.starts, known[-1])
-        keys = pairs(found, hashed)
+        keys = pairs(found.codes, found.starts, hashed)
         # Each pair once, and no further than to the levels of its words, to which it is held.
         order = np.argsort(keys)
         keys = keys[order]
@@ -334,7 +338,7 @@ def _count_grams(segment_bits: int):
         for batch in (x for b in batches for x in common.slices(b, 0, SLICE)):
             found = Tokens(batch.column(0))
             hashed = word_hashes(found.listed())
-            grams += [hashed[found.codes], pairs(found, hashed)]
+            grams += [hashed[found.codes], pairs(found.codes, found.starts, hashed)]
             held += len(found.codes)
             if held >= HELD:
                 yield from out(grams)
@@ -395,12 +399,30 @@ def by_count(words: DataFrame) -> list[tuple[int, int, int, int]]:
     return sorted((r["s"], r["words"], r["tokens"], r["least"]) for r in grouped.collect())
 
 
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions within go when these end, and do not lie beside what comes after."""
+    was = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANED)
+        else:
+            spark.conf.set(CLEANED, was)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bits: int = BROADCAST_BITS, token_bits: int = TOKEN_BITS) -> tuple[Model, DataFrame]:
     """The model, and the table of exact word counts (word, n) in the shared folder."""
     training = docs.where(common.fold_remainder(F.col(id_col), 10) != 0)
     text = training.select(F.col(text_col).alias("text"))
     # Executors may be lost while later steps read the words, so they are written.
-    words = common.materialize(text.transform(common.in_arrow, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    with shuffles_end(docs.sparkSession):
+        words = common.materialize(text.transform(common.in_arrow, _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     steps = by_count(words)
     n, v = sum(x[2] for x in steps), sum(x[1] for x in steps)
     segment_bits = int(np.clip(math.ceil(math.log2(max(n, 1) / SEGMENT_TOKENS)), LEAST_SEGMENT_BITS, MOST_SEGMENT_BITS))
@@ -409,13 +431,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     packed = text.transform(common.in_arrow, _count_grams(segment_bits), "segment int, once binary, often binary, times binary").repartition("segment").sortWithinPartitions("segment")
     built = packed.transform(common.in_arrow, _segments(width), SEGMENT_ROW)
     if width << segment_bits <= broadcast_bits:
-        rows = built.toArrow()
+        with shuffles_end(docs.sparkSession):
+            rows = built.toArrow()
         flags = bytearray((width << segment_bits) // 8)
         for own, bits in zip(rows.column("segment").to_pylist(), rows.column("bits"), strict=True):
             flags[own * width // 8 : (own + 1) * width // 8] = bits.as_py()
         singles, filter_, segments = sum(rows.column("singles").to_pylist()), Filter(flags, width, segment_bits), None
     else:
-        segments = common.materialize(built, "lm-segments")
+        with shuffles_end(docs.sparkSession):
+            segments = common.materialize(built, "lm-segments")
         singles, filter_ = segments.agg(F.coalesce(F.sum("singles"), F.lit(0))).first()[0], None
     # Step 0 holds the words that occur once.
     singles -= sum(x[1] for x in steps if x[3] == 1)
@@ -475,6 +499,48 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[ob
         yield now, rows
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones and so on: those of sorted or small numbers compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def packed_levels(levels: np.ndarray) -> bytes:
+    return len(levels).to_bytes(8, "little") + pa.compress(levels.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_levels(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+class Packed:
+    """The distinct words of a run, by the places of the hot ones and the names that the prepared rows hold anyway; a long word's hash goes with them."""
+
+    def __init__(self, logs: dict[bytes, float]) -> None:
+        self.places = {w: i for i, w in enumerate(logs, 1)}
+        self.hashes = word_hashes([END, *logs])
+
+    def pack(self, found: Tokens, hashed: np.ndarray) -> bytes:
+        at = np.fromiter(map(self.places.get, named(found.words).to_numpy(zero_copy_only=False).tolist(), repeat(0)), np.int32, len(hashed))
+        long = np.flatnonzero(pc.binary_length(found.words).to_numpy(zero_copy_only=False) > NAME_BYTES)
+        return np.array([len(hashed), len(long), *long]).tobytes() + hashed[long].tobytes() + pa.compress(planes(at), codec="zstd", asbytes=True)
+
+    def unpack(self, data: bytes, cold: pa.ListArray) -> np.ndarray:
+        """The hashes. Codes are given as words first occur, so texts' cold words by code come in the order of their codes."""
+        k, n = np.frombuffer(data, np.int64, 2).tolist()
+        long, hashes = np.frombuffer(data, np.int64, n, 16), np.frombuffer(data, np.uint64, n, 16 + 8 * n)
+        at = from_planes(pa.decompress(data[16 + 16 * n :], decompressed_size=4 * k, codec="zstd", asbytes=True), np.int32)
+        out = self.hashes[at]
+        others = [w for w in cold.flatten().field("word").dictionary_encode().dictionary.to_numpy(zero_copy_only=False).tolist() if w != END]
+        out[np.flatnonzero(at[:-1] == 0)] = word_hashes(others)
+        out[long] = hashes
+        out[-1] = _END_HASH
+        return out
+
+
 def scored_by_shards(source: DataFrame, model: Model, known: Broadcast, schema: str) -> DataFrame:
     """The prepared rows with their scores, the filter being too large to broadcast."""
     segment_bits, width = model.segment_bits, model.width
@@ -482,36 +548,39 @@ def scored_by_shards(source: DataFrame, model: Model, known: Broadcast, schema:
     inner = segment_bits - shard_bits
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each run of texts one row (shard -1) with its prepared rows and the places of its tokens' n-grams, and its n-grams by shard."""
-        logs, task = known.value, TaskContext.get()
+        """Of each run of texts one row with its prepared rows and its tokens, which passes by some shard, and its n-grams by shard."""
+        logs, task, words = known.value, TaskContext.get(), Packed(known.value)
         packed = pa.ipc.IpcWriteOptions(compression="zstd")
         run = 0
-        for batch in (x for b in batches for x in common.slices(b, 3, SLICE)):
+        for batch in (x for b in batches for x in common.slices(b, 3, RUN)):
             prepared, found, hashed = _prepared(batch, logs)
-            flat, starts = hashed[found.codes], found.starts
-            keys, at = np.unique(np.concatenate([flat, [_END_HASH], pair_hash(before(flat, starts), flat)]), return_inverse=True)
+            keys = np.unique(np.concatenate([hashed, pairs(found.codes, found.starts, hashed)]))
             sink = io.BytesIO()
             with pa.ipc.new_stream(sink, prepared.schema, options=packed) as out:
                 out.write_batch(prepared)
-            places = pa.compress(at.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+            codes = pa.compress(planes(found.codes), codec="zstd", asbytes=True)
             cuts = [*np.searchsorted(keys, np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)), len(keys)]
             some = np.flatnonzero(np.diff(cuts)).tolist()
-            own = f"{task.partitionId()}-{task.taskAttemptId()}-{run}"
+            own = f"{task.partitionId()}-{run}"
+            by = (task.partitionId() + run) % (1 << shard_bits)
             run += 1
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([own] * (1 + len(some))), pa.array([-1, *some], pa.int32()), pa.array([sink.getvalue(), *(keys[cuts[i] : cuts[i + 1]].tobytes() for i in some)], pa.binary()),
-                    pa.array([places] + [None] * len(some), pa.binary()),
+                    pa.array([own] * (1 + len(some))), pa.array([by, *some], pa.int32()), pa.array([sink.getvalue(), *(planes(np.diff(keys[cuts[i] : cuts[i + 1]], prepend=np.uint64(0))) for i in some)], pa.binary()),
+                    pa.array([words.pack(found, hashed)] + [None] * len(some), pa.binary()), pa.array([codes] + [None] * len(some), pa.binary()),
                 ],
-                ["run", "shard", "data", "places"],
+                ["run", "shard", "data", "words", "codes"],
             )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by shard, its segments first: each run's levels."""
+        """Rows sorted by shard, its segments first: each run's levels. Prepared rows pass, as shard -1."""
         now, flags, filter_ = None, None, None
         for batch in batches:
-            answers: list[tuple[str, int, bytes]] = []
-            for shard, run, at, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            answers: list[tuple[str, int, bytes, bytes | None, bytes | None]] = []
+            for shard, run, at, data, words, codes in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if codes is not None:
+                    answers.append((run, -1, data, words, codes))
+                    continue
                 if shard != now:
                     now, flags, filter_ = shard, bytearray((width << inner) // 8), None
                 if run is None:
@@ -519,27 +588,36 @@ def scored_by_shards(source: DataFrame, model: Model, known: Broadcast, schema:
                     flags[lo : lo + len(data)] = data
                     continue
                 filter_ = filter_ or Filter(flags, width, segment_bits, shard << inner)
-                answers.append((run, shard, filter_.levels(np.frombuffer(data, np.uint64)).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for a in answers], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary()))], ["run", "shard", "data"])
+                answers.append((run, shard, packed_levels(filter_.levels(np.cumsum(from_planes(data, np.uint64), dtype=np.uint64))), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([a[k] for a in answers], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["run", "shard", "data", "words", "codes"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ((_, _, prepared, places), *answers) in _groups(batches, 0):
+        hot = Packed(known.value)
+        for _, ((_, _, prepared, words, codes), *answers) in _groups(batches, 0):
             rows = pa.ipc.open_stream(prepared).read_all().combine_chunks().to_batches()[0]
             sizes = rows.column(3).to_numpy()
-            k, starts = int(sizes.sum()), np.cumsum(sizes) - sizes
-            at = np.frombuffer(pa.decompress(places, decompressed_size=4 * (2 * k + 1), codec="zstd", asbytes=True), np.int32)
-            levels = np.frombuffer(b"".join(a[2] for a in answers), np.uint8)[at]
-            own, end, pair = levels[:k], levels[k], levels[k + 1 :]
-            yield _with_score(rows, np.add.reduceat(model_.log_p(own, before(own, starts, end), pair), starts))
+            k, starts, hashed = int(sizes.sum()), np.cumsum(sizes) - sizes, hot.unpack(words, rows.column(6))
+            codes = from_planes(pa.decompress(codes, decompressed_size=4 * k, codec="zstd", asbytes=True), np.int32)
+            # The n-grams' order is that in which they were asked for.
+            at = np.unique(np.concatenate([hashed, pairs(codes, starts, hashed)]), return_inverse=True)[1]
+            levels = np.frombuffer(b"".join(unpacked_levels(a[2]) for a in answers), np.uint8)[at]
+            of_words, pair = levels[: len(hashed)], levels[len(hashed) :]
+            own = of_words[codes]
+            yield _with_score(rows, np.add.reduceat(model_.log_p(own, before(own, starts, of_words[-1]), pair), starts))
 
     model_ = Model(model.n, model.v, model.mu, segment_bits, width)
-    asked = common.materialize(source.transform(common.in_arrow, ask, "run string, shard int, data binary, places binary"), "lm-probes")
+    asked = source.transform(common.in_arrow, ask, "run string, shard int, data binary, words binary, codes binary")
     none = F.lit(None)
-    filter_rows = model.segments.select(F.shiftright("segment", inner).alias("shard"), none.cast("string").alias("run"), F.col("segment").alias("at"), F.col("bits").alias("data"))
-    probe_rows = asked.where("shard >= 0").select("shard", "run", none.cast("int").alias("at"), "data")
+    filter_rows = model.segments.select(
+        F.shiftright("segment", inner).alias("shard"), none.cast("string").alias("run"), F.col("segment").alias("at"), F.col("bits").alias("data"), none.cast("binary").alias("words"), none.cast("binary").alias("codes")
+    )
+    probe_rows = asked.select("shard", "run", none.cast("int").alias("at"), "data", "words", "codes")
     dealt = filter_rows.unionByName(probe_rows).repartition("shard").sortWithinPartitions("shard", F.col("run").asc_nulls_first())
-    levels = dealt.transform(common.in_arrow, probe, "run string, shard int, data binary")
-    back = levels.withColumn("places", none.cast("binary")).unionByName(asked.where("shard < 0")).repartition("run").sortWithinPartitions("run", "shard")
+    levels = dealt.transform(common.in_arrow, probe, "run string, shard int, data binary, words binary, codes binary")
+    # The probes need not lie beside the levels on their way back.
+    with shuffles_end(source.sparkSession):
+        levels = common.materialize(levels, "lm-levels")
+    back = levels.repartition("run").sortWithinPartitions("run", "shard")
     return back.transform(common.in_arrow, finish, schema)
 
 
@@ -550,9 +628,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     hot, least = hot_words(words)
     known = spark.sparkContext.broadcast({w: math.log10(c + 0.1) for w, c in hot.items()})
     held_out = common.fold_remainder(F.col(id_col), 10) == 0
-    source = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("text_md5"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, text_md5 string, n_tokens long, n_hot long, hot_score double, cold array<struct<word:binary,tf:long>>, score double"
+    schema = f"doc_id {kind}, held_out boolean, text_md5 binary, n_tokens long, n_hot long, hot_score double, cold array<struct<word:binary,tf:long>>, score double"
 
     if model.filter is None:
         scored = scored_by_shards(source, model, known, schema)

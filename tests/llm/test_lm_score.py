@@ -170,6 +170,21 @@ def test_counting_and_preparing_cost_less_than_a_loop_over_tokens():
     assert cost(lambda: op._prepared(whole, logs)) < 1.2 * by_loop
 
 
+@pytest.mark.parametrize("hot", [[], [b" "], [b"w1", b" ", b"w7", op.name(b"x" * 70)]])
+def test_words_of_a_run_come_back(corpus, hot):
+    """By places of hot words and names of cold ones."""
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in corpus] + ["x" * 70, "y" * 100 + " w1", None, "w1 w1 w2"]
+    for part in (texts, texts[::-1], [None], ["y" * 80]):
+        n, logs = len(part), dict.fromkeys(hot, 1.0)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([False] * n), pa.array([b"m"] * n), pa.array(part, pa.string())], ["doc_id", "held_out", "text_md5", "text"])
+        prepared, found, hashed = op._prepared(batch, logs)
+        words = op.Packed(logs)
+        assert (words.unpack(words.pack(found, hashed), prepared.column(6)) == hashed).all()
+        assert (op.from_planes(op.planes(hashed), np.uint64) == hashed).all()
+
+
 def test_a_pair_is_probed_no_further_than_its_words():
     rng = np.random.RandomState(4)
     flags = rng.randint(0, 256, (2, 1 << 16)).astype(np.uint8)
