@@ -7,9 +7,14 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Collection, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
 from pyspark.sql import SparkSession
 
+#: Threads that do file-system work of many paths at a time, and paths that one of them takes at once.
+_THREADS, _AT_ONCE = 8, 500
 _SEGMENT = re.compile(r"^([a-zA-Z0-9._]+)=(.*)$")
 
 
@@ -42,6 +47,49 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
+def _each(work: Callable, things: Iterable, at_once: int = _AT_ONCE) -> list:
+    """``work`` on each thing, by threads; the first error is raised."""
+    with ThreadPoolExecutor(_THREADS) as pool:
+        return [x for some in pool.map(lambda some: [work(x) for x in some], batched(things, at_once)) for x in some]
+
+
+def rename_all(spark: SparkSession, root: str, moves: Mapping[str, str]) -> None:
+    """Renames many files of the file system of ``root``. A file takes three calls of the JVM, as folders and classes are looked up once."""
+    fs, _ = fs_path(spark, root)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for folder in {new.rpartition("/")[0] for new in moves.values()}:
+        fs.mkdirs(hadoop(folder))
+
+    def move(item: tuple[str, str]) -> None:
+        if not fs.rename(hadoop(item[0]), hadoop(item[1])):
+            raise OSError(f"cannot rename {item[0]} to {item[1]}")
+
+    _each(move, moves.items())
+
+
+def delete_all(spark: SparkSession, root: str, paths: Collection[str]) -> None:
+    """Deletes many files of the file system of ``root``; those that are gone are passed over."""
+    fs, _ = fs_path(spark, root)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    _each(lambda path: fs.delete(hadoop(path), True), paths)
+
+
+def leaves(spark: SparkSession, path: str, depth: int) -> list[str]:
+    """What isn't hidden ``depth`` folders below a path, by name. A folder takes a few calls, however many files it holds."""
+    jvm = spark.sparkContext._jvm
+    fs, _ = fs_path(spark, path)
+    hadoop, paths_of, wrapped = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.FileUtil.stat2Paths, jvm.scala.Predef.genericWrapArray
+
+    def inside(folder: str) -> list[str]:
+        found = wrapped(paths_of(fs.listStatus(hadoop(folder)))).mkString("\n").split("\n")
+        return [x for x in found if x and not x.rsplit("/", 1)[-1].startswith(("_", "."))]
+
+    found = [path]
+    for _ in range(depth + 1):
+        found = [x for some in _each(inside, found, 1) for x in some]
+    return sorted(found)
+
+
 def listing(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
     """(path, is a directory) of what isn't hidden in a directory, by name."""
     fs, p = fs_path(spark, path)

@@ -206,6 +206,38 @@ def test_stream_batch_repeated_after_a_failure(spark, tmp):
     assert Reader(spark).read(f"{tmp}/out").size() == 5
 
 
+def _files_by_task(monkeypatch, max_count, *names):
+    """Files that each writing task makes, filled as batches are written."""
+    found, write = [], Writer._parquet
+
+    def spy(self, df, path, *more):
+        rows = df.groupBy(F.spark_partition_id().alias("task"), *names).count().collect()
+        found.append([sum(-(-r["count"] // max_count) for r in rows if r.task == t) for t in {r.task for r in rows}])
+        write(self, df, path, *more)
+
+    monkeypatch.setattr(Writer, "_parquet", spy)
+    return found
+
+
+def test_stream_partitions_of_many_files_are_shared_out(spark, tmp, monkeypatch):
+    """One large value, a middling one and many small ones, all in one input task: no task writes many files, no file is too long."""
+    found = _files_by_task(monkeypatch, 2, "p")
+    told = []
+    df = spark.range(0, 700, 1, 1).selectExpr("id", "map('k', id) AS m", "CASE WHEN id < 400 THEN 'large' WHEN id < 500 THEN 'b=/ ~' ELSE concat('v', id) END AS p")
+    via = ViaParquet(spark).partition_by("p").max_count(2).post_write_handler(told.append)
+    counts = via._batch(df, 0, f"{tmp}/out", Writer(spark))
+    assert len(found) == 1 and len(found[0]) > 5 and max(found[0]) <= 128
+    assert sum(counts.values()) == 700 and counts[f"{tmp}/out/p=large"] == 400 and len(counts) == 202
+    got = Reader(spark).read(f"{tmp}/out").df
+    assert got.columns == ["id", "m", "p"] and sorted((r.id, r.m["k"], r.p) for r in got.collect()) == sorted((r.id, r.m["k"], r.p) for r in df.collect())
+    assert max(r["count"] for r in got.groupBy(F.col("_metadata.file_path")).count().collect()) == 2
+    # Finished: not written again. Not finished: all its files are replaced.
+    assert via._batch(df, 0, f"{tmp}/out", Writer(spark)) == counts and Reader(spark).read(f"{tmp}/out").size() == 700
+    files.delete(spark, f"{tmp}/out/_lodestone_log/0.done")
+    via._batch(df.limit(5), 0, f"{tmp}/out", Writer(spark))
+    assert Reader(spark).read(f"{tmp}/out").size() == 5
+
+
 @pytest.fixture
 def sides(spark):
     left = Dataset(spark.sql("SELECT * FROM VALUES (1, 'l1'), (2, 'l2'), (2, 'l2b'), (NULL, 'ln') AS t(id, v)"))
