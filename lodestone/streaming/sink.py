@@ -130,6 +130,9 @@ class ViaParquet:
         """The records in the tasks that write them, None if one is enough."""
         task_files = min(TASK_FILES, TASK_ROWS // self.count)
         task_rows = task_files * self.count
+        if not names:
+            tasks = math.ceil(counts[0][1] / task_rows)
+            return df.repartition(tasks) if tasks > 1 else None
         # Values with more records than a task's are cut by a hash into slices, a task each; whole values share the tasks before these.
         first = math.ceil(sum(math.ceil(n / self.count) for _, n in counts if n <= task_rows) / task_files)
         large, tasks = [], first
@@ -161,7 +164,7 @@ class ViaParquet:
         df, names = self.shaped(batch)
         log = f"{path}/{_LOG}/{number}"
         done = files.exists(self.spark, f"{log}.done")
-        small = bool(names) and self.count * LEAST_FILES <= TASK_ROWS and not done
+        small = self.count * LEAST_FILES <= TASK_ROWS and not done
         counts = _counted(df, names) if small or self.handler else None
         if not done:
             if files.exists(self.spark, f"{log}.plan"):

@@ -238,6 +238,18 @@ def test_stream_partitions_of_many_files_are_shared_out(spark, tmp, monkeypatch)
     assert Reader(spark).read(f"{tmp}/out").size() == 5
 
 
+def test_stream_many_files_are_shared_out(spark, tmp, monkeypatch):
+    """Without partitions, from one input task, with equal records: no task writes many files, and none is too long."""
+    found = _files_by_task(monkeypatch, 2)
+    df = spark.range(0, 700, 1, 1).selectExpr("id DIV 10 AS id", "CASE WHEN id < 200 THEN 'same' END AS p")
+    ViaParquet(spark).max_count(2)._batch(df, 0, f"{tmp}/out", Writer(spark))
+    assert len(found) == 1 and len(found[0]) > 5 and max(found[0]) <= 128
+    got = Reader(spark).read(f"{tmp}/out").df
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert max(r["count"] for r in got.groupBy(F.col("_metadata.file_path")).count().collect()) == 2
+    assert len(files.files_at_path(spark, f"{tmp}/out")) <= 360
+
+
 @pytest.fixture
 def sides(spark):
     left = Dataset(spark.sql("SELECT * FROM VALUES (1, 'l1'), (2, 'l2'), (2, 'l2b'), (NULL, 'ln') AS t(id, v)"))
